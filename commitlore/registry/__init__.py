@@ -4,6 +4,6 @@ import importlib
 
 from commitlore.registry.base import QUERIES, SQL
 
-_MODULES = ["quality"]
+_MODULES = ["quality", "activity", "selection", "expressions", "features", "baskets"]
 for _name in _MODULES:
     importlib.import_module(f"{__name__}.{_name}")
