@@ -88,19 +88,31 @@ def standardize(df: DataFrame, columns=STANDARDIZED_COLUMNS) -> DataFrame:
 # --- dictionaries --------------------------------------------------------------
 
 
-def label_dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """(value, code) with code = rank among the sorted distinct values, and their number.
+def label_dictionaries(df: DataFrame, columns) -> dict[str, tuple[DataFrame, int]]:
+    """Per column (value, code), code = rank among the sorted distinct values, and their number.
 
-    A short list is ranked in one task. A long one is range partitioned, written out,
-    and ranked per part with the sizes of the parts before added on.
+    All columns are read in one pass. A short list is ranked in one task. A long one is
+    range partitioned, written out, and ranked per part with the sizes of the parts
+    before added on.
     """
-    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).distinct()
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value"))
+        for c in columns
+    ]
+    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").distinct()
     with reused(values):
-        n = values.count()
-        if n > ONE_TASK_DICTIONARY:
-            return _long_dictionary(values), n
-        by_value = W.orderBy("value")
-        return stage(values.select("value", (F.row_number().over(by_value) - 1).cast("long").alias("code"))), n
+        sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        short = [c for c in columns if sizes.get(c, 0) <= ONE_TASK_DICTIONARY]
+        rank = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
+        coded = stage(values.filter(F.col("column").isin(short)).select("column", "value", rank.cast("long").alias("code")))
+        found = {}
+        for c in columns:
+            if c in short:
+                codes = coded.filter(F.col("column") == c).select("value", "code")
+            else:
+                codes = _long_dictionary(values.filter(F.col("column") == c).select("value"))
+            found[c] = (codes, sizes.get(c, 0))
+    return found
 
 
 def _long_dictionary(values: DataFrame) -> DataFrame:
@@ -110,25 +122,26 @@ def _long_dictionary(values: DataFrame) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("part").orderBy("value")) - 1
     # one row per partition of the write
-    return parts.join(F.broadcast(offsets), "part").select("value", (F.col("offset") + rank).cast("long").alias("code"))
+    coded = parts.join(F.broadcast(offsets), "part").select("value", (F.col("offset") + rank).cast("long").alias("code"))
+    return stage(coded)
 
 
 def label_encode(df: DataFrame, columns=CATEGORY_COLUMNS) -> DataFrame:
     """Replace each column by its code. Missing values are the word `unknown`."""
-    for c in _present(df, columns):
-        codes, n = label_dictionary(df, c)
-        codes = codes.withColumnRenamed("code", "_code")
+    names = df.columns
+    for c, (codes, n) in label_dictionaries(df, _present(df, columns)).items():
+        codes = codes.select(F.col("value").alias("_known"), F.col("code").alias("_code"))
         keyed = df.withColumn("_value", F.coalesce(F.col(c).cast("string"), F.lit("unknown")))
         if n <= SMALL_DICTIONARY:
-            joined = keyed.join(F.broadcast(codes), F.col("_value") == F.col("value"))
+            joined = keyed.join(F.broadcast(codes), F.col("_value") == F.col("_known"))
         else:
             # a frequent value would be one task: its rows go to SALTS places
-            salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+            salt = F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")
             spread = codes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             joined = keyed.withColumn("_salt", salt).join(
-                spread, (F.col("_value") == F.col("value")) & (F.col("_salt") == F.col("_s"))
+                spread, (F.col("_value") == F.col("_known")) & (F.col("_salt") == F.col("_s"))
             )
-        df = joined.select(*[F.col("_code").alias(c) if x == c else F.col(x) for x in df.columns])
+        df = joined.select(*[F.col("_code").alias(c) if x == c else F.col(x) for x in names])
     return df
 
 

@@ -41,9 +41,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in storage that outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage: a table in shared storage, which outlives any executor.
+
+    Read back as files, it brings true sizes to the planner and none of the plan behind it.
+    """
+    path = fresh_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
