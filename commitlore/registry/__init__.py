@@ -4,6 +4,6 @@ import importlib
 
 from commitlore.registry.base import QUERIES, SQL
 
-_MODULES = ["quality", "activity", "selection", "expressions", "features", "baskets", "clusters", "models"]
+_MODULES = ["quality", "activity", "selection", "expressions", "features", "baskets", "clusters", "models", "sources"]
 for _name in _MODULES:
     importlib.import_module(f"{__name__}.{_name}")
