@@ -37,12 +37,14 @@ def base_name(path) -> Column:
 def directory(path) -> Column:
     """Path without its last segment, `root` when there is only one."""
     c = _c(path)
-    return F.when(c.contains("/"), F.regexp_extract(c, r"(?s)^(.*)/[^/]*$", 1)).otherwise(F.lit("root"))
+    upto = F.length(c) - F.length(F.substring_index(c, "/", -1)) - 1
+    return F.when(c.contains("/"), c.substr(F.lit(1), upto)).otherwise(F.lit("root"))
 
 
 def file_extension(name) -> Column:
     """Extension with its dot; leading dots do not start one, the last dot wins."""
-    return F.regexp_extract(base_name(name), r"(?s)^\.*[^.].*?(\.[^.]*)$", 1)
+    visible = F.ltrim(base_name(name), F.lit("."))
+    return F.when(visible.contains("."), F.concat(F.lit("."), F.substring_index(visible, ".", -1))).otherwise(F.lit(""))
 
 
 def plain_extension(name) -> Column:

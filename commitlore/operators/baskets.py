@@ -48,12 +48,15 @@ def top_files_cap(frequent: DataFrame, max_files: int | None = MAX_FILES) -> Dat
     return frequent.orderBy(F.desc("mentions"), "file").limit(max_files)
 
 
-def basket_membership(files: DataFrame, kept: DataFrame, max_files: int | None = MAX_FILES) -> DataFrame:
-    """(hash, file) of the kept files, once per commit. A capped list is small enough to broadcast."""
-    names = kept.select("file")
-    if max_files is not None and max_files <= 10_000:
-        names = F.broadcast(names)
-    return files.join(names, "file", "left_semi").select("hash", "file").distinct()
+def basket_membership(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """(hash, file) of the kept files, once per commit."""
+    return _of_files(files, kept).select("hash", "file").distinct()
+
+
+def _of_files(mentions: DataFrame, files: DataFrame) -> DataFrame:
+    """Mentions of the given files. Their list is written first: with its true size known,
+    the planner broadcasts a short one and a file named in every commit stays spread out."""
+    return mentions.join(stage(files.select("file")), "file", "left_semi")
 
 
 def file_memberships(
@@ -62,7 +65,7 @@ def file_memberships(
     """(hash, file) after cleaning, the frequency threshold and the cap."""
     files = visible_files(file_changes, column)
     kept = top_files_cap(min_frequency_files(files, min_count), max_files)
-    return basket_membership(files, kept, max_files)
+    return basket_membership(files, kept)
 
 
 def _supported(memberships: DataFrame, min_support: float) -> DataFrame:
@@ -73,7 +76,7 @@ def _supported(memberships: DataFrame, min_support: float) -> DataFrame:
     """
     total = memberships.agg(F.count_distinct("hash")).scalar()
     counts = memberships.groupBy("file").agg(F.count("*").alias("n"))
-    return memberships.join(counts.filter(F.col("n") >= F.lit(min_support) * total).select("file"), "file", "left_semi")
+    return _of_files(memberships, counts.filter(F.col("n") >= F.lit(min_support) * total))
 
 
 def file_baskets(
@@ -278,8 +281,8 @@ def co_change_pairs(files: DataFrame, min_support: float = MIN_SUPPORT, ordered:
     mentions = _first_mentions(files)
     total = files.agg(F.count_distinct("hash")).scalar()
     needed = F.lit(min_support) * total
-    frequent = mentions.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= needed).select("file")
-    kinds = _counted_baskets(mentions.join(frequent, "file", "left_semi"), F.col("pos"))
+    frequent = mentions.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
+    kinds = _counted_baskets(_of_files(mentions, frequent), F.col("pos"))
     return _pairs_of(kinds, ordered).filter(F.col("commits") >= needed)
 
 
@@ -300,6 +303,6 @@ def top_pairs(files: DataFrame, limit: int = TOP_PAIRS, ordered: bool = True, se
             bound = row["c"] if row["k"] == limit else 1
             if bound > 1:
                 break
-    frequent = _first_mentions(files).groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= bound).select("file")
-    kinds = _counted_baskets(_first_mentions(files).join(frequent, "file", "left_semi"), F.col("pos"))
+        in_reach = _of_files(mentions, counts.filter(F.col("n") >= bound))
+        kinds = stage(_counted_baskets(in_reach, F.col("pos")))
     return _pairs_of(kinds, ordered).orderBy(F.desc("commits"), "file_a", "file_b").limit(limit)

@@ -6,28 +6,39 @@ from commitlore.functions.text import file_extension
 from commitlore.schema import CHANGE_TYPES
 
 
-def main_file_type(file_changes: DataFrame, count_without_extension: bool = False) -> DataFrame:
-    """Most common extension of each commit; the first seen wins a tie.
+def commit_rollups(
+    file_changes: DataFrame, count_without_extension: bool = False, empty_is_add: bool = False,
+) -> DataFrame:
+    """(hash, main_file_type, main_change_type) in one pass over the file changes.
 
-    Both steps are map-side combined, so a commit with very many files is reduced
-    to one row per extension before it is shuffled to a single place.
+    The most common extension counts, the first seen on a tie; the most frequent change
+    type, ties in the order of CHANGE_TYPES. A commit with very many files is reduced to
+    one row per extension before its parts meet in one place.
     """
-    ext = file_changes.select("hash", "pos", file_extension("filename").alias("ext"))
-    if not count_without_extension:
-        ext = ext.filter(F.col("ext") != "")
-    counted = ext.groupBy("hash", "ext").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return counted.groupBy("hash").agg(
-        F.max_by("ext", F.struct("n", -F.col("first"))).alias("main_file_type")
+    per_extension = file_changes.groupBy("hash", file_extension("filename").alias("ext")).agg(
+        F.count("*").alias("n"), F.min("pos").alias("first"),
+        *[F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES],
     )
-
-
-def main_change_type(file_changes: DataFrame, empty_is_add: bool = False) -> DataFrame:
-    """Most frequent change type of each commit; ties go in the order of CHANGE_TYPES."""
-    counts = file_changes.groupBy("hash").agg(
-        *[F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES]
+    counts = F.lit(True) if count_without_extension else F.col("ext") != ""
+    rank = F.when(counts, F.struct("n", -F.col("first")))
+    merged = per_extension.groupBy("hash").agg(
+        F.max_by("ext", rank).alias("main_file_type"), *[F.sum(t).alias(t) for t in CHANGE_TYPES]
     )
     best = F.greatest(*CHANGE_TYPES)
     chosen = F.when((best == 0) & F.lit(not empty_is_add), F.lit(None))
     for t in CHANGE_TYPES:
         chosen = chosen.when(F.col(t) == best, t)
-    return counts.select("hash", chosen.alias("main_change_type"))
+    return merged.select("hash", "main_file_type", chosen.alias("main_change_type"))
+
+
+def main_file_type(file_changes: DataFrame, count_without_extension: bool = False) -> DataFrame:
+    """Most common extension of each commit that has one."""
+    typed = file_changes.withColumn("change_type", F.lit(None).cast("string"))
+    found = commit_rollups(typed, count_without_extension).select("hash", "main_file_type")
+    return found.filter(F.col("main_file_type").isNotNull())
+
+
+def main_change_type(file_changes: DataFrame, empty_is_add: bool = False) -> DataFrame:
+    """Most frequent change type of each commit."""
+    nameless = file_changes.select("hash", "change_type", F.lit("").alias("filename"), F.lit(0).alias("pos"))
+    return commit_rollups(nameless, empty_is_add=empty_is_add).select("hash", "main_change_type")

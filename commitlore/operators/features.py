@@ -33,6 +33,7 @@ STANDARDIZED_COLUMNS = [
 SMALL_DICTIONARY = 200_000
 ONE_TASK_DICTIONARY = 2_000_000
 SALTS = 32
+LARGE_CLASS = 100_000
 
 
 def _present(df, columns):
@@ -254,16 +255,19 @@ def derived_columns(df: DataFrame) -> DataFrame:
 def feature_table(
     commits: DataFrame, embed_messages: bool = False, scale: bool = True, keep_hash: bool = False,
 ) -> DataFrame:
-    """The numeric table models and clusterings are fitted on."""
-    with reused(commits) as source:
-        derived = derived_columns(source)
-        if embed_messages and "msg" in derived.columns:
-            derived = expanded_vector(message_embeddings(derived), "embedding", "w2v_", EMBEDDING["size"])
-        scaled = derived
-        if scale:
-            vectors = [c for c in derived.columns if c.startswith("w2v_")]
-            scaled = standardize(derived, [*STANDARDIZED_COLUMNS, *vectors])
-        encoded = label_encode(scaled)
+    """The numeric table models and clusterings are fitted on.
+
+    The fits read the table three times (quartiles, moments, dictionaries), each time
+    only the columns they need. A table that is costly to compute should be staged first.
+    """
+    derived = derived_columns(commits)
+    if embed_messages and "msg" in derived.columns:
+        derived = expanded_vector(message_embeddings(derived), "embedding", "w2v_", EMBEDDING["size"])
+    scaled = derived
+    if scale:
+        vectors = [c for c in derived.columns if c.startswith("w2v_")]
+        scaled = standardize(derived, [*STANDARDIZED_COLUMNS, *vectors])
+    encoded = label_encode(scaled)
     if keep_hash and "hash" in encoded.columns:
         return project_model_columns(encoded.withColumnRenamed("hash", "_h")).withColumnRenamed("_h", "hash")
     return project_model_columns(encoded)
@@ -286,21 +290,25 @@ def hash_share(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
 
 
-def train_test_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, label: str | None = None) -> DataFrame:
+def train_test_split(
+    df: DataFrame, key: str, test: float = 0.2, seed: int = 42, label: str | None = None, large_class: int = LARGE_CLASS,
+) -> DataFrame:
     """Adds `is_test`. With a label, each class gives the same share of its rows.
 
-    The stratified cut is the class's own quantile of the hash, so no class is sorted.
+    A class of ordinary size is cut at its exact share. In a large one the share of the
+    hash itself is as good, and the class need not be brought together.
     """
     share = hash_share(key, seed)
     if label is None:
         return df.withColumn("is_test", share < test)
-    classes = [r[0] for r in df.filter(F.col(label).isNotNull()).select(label).distinct().collect()]
-    wide = df.select(*[F.when(F.col(label) == c, share).alias(f"s{i}") for i, c in enumerate(classes)])
-    cuts = exact_quantiles(wide, wide.columns, [test])
-    case = F.lit(test)
-    for i, c in enumerate(classes):
-        case = F.when(F.col(label) == c, F.lit(cuts[f"s{i}"][0])).otherwise(case)
-    return df.withColumn("is_test", share <= case)
+    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    large = [r[0] for r in sizes.filter((F.col("n") > large_class) & F.col(label).isNotNull()).collect()]
+    is_large = F.col(label).isNull() | F.col(label).isin(large)
+    in_class = W.partitionBy(label)
+    place = F.row_number().over(in_class.orderBy(share, key))
+    cut = F.ceil(F.lit(test) * F.count("*").over(in_class))
+    small = df.filter(~is_large).withColumn("is_test", place <= cut)
+    return small.unionByName(df.filter(is_large).withColumn("is_test", share < test))
 
 
 def kfold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:

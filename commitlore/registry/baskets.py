@@ -113,7 +113,7 @@ def basket_membership_by_path(spark, sf_dir):
 
     # directories in place of files, and no cap
     dirs = file_changes(spark, sf_dir).select("hash", "pos", directory("path").alias("file"))
-    return baskets.basket_membership(dirs, baskets.min_frequency_files(dirs), None)
+    return baskets.basket_membership(dirs, baskets.min_frequency_files(dirs))
 
 
 @query("file_baskets", f"""WITH {_MEMBERS} SELECT hash, string_agg(file, '|' ORDER BY file) AS files FROM members GROUP BY 1""")

@@ -123,7 +123,7 @@ def clustering_features(spark, sf_dir):
 
 
 def _commit_vectors(spark, sf_dir):
-    features = stage(feature_table(commits(spark, sf_dir, *VIEW_COLUMNS), keep_hash=True))
+    features = stage(feature_table(stage(commits(spark, sf_dir, *VIEW_COLUMNS)), keep_hash=True))
     table_ = clusters.clustering_features(features, keep=("hash",))
     return clusters.assembled(table_, [c for c in table_.columns if c != "hash"]).select("hash", "features")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from commitlore.operators import features
 from commitlore.registry.base import COMMITS, COMMITS_WITH_ROLLUPS, query, rounded
 from commitlore.schema import DMM_COLUMNS, SIZE_COLUMNS
+from commitlore.session import stage
 from commitlore.sources.sample_views import VIEW_COLUMNS, commits, table
 
 _NUMBERS = [*SIZE_COLUMNS, *DMM_COLUMNS]
@@ -46,7 +47,7 @@ _CODED = ["author", "committer", "branches", "main_file_type", "main_change_type
 @query("label_encode", f"""WITH {COMMITS_WITH_ROLLUPS}
 SELECT hash, {", ".join(f"dense_rank() OVER (ORDER BY coalesce({c}, 'unknown')) - 1 AS {c}" for c in _CODED)} FROM full_commits""")
 def label_encode(spark, sf_dir):
-    return features.label_encode(commits(spark, sf_dir, "hash", *_CODED))
+    return features.label_encode(stage(commits(spark, sf_dir, "hash", *_CODED)))
 
 
 @query("quartile_label", f"""WITH {COMMITS},
@@ -125,7 +126,7 @@ derived AS (
 SELECT hash, {", ".join(_CODED)}, in_main_branch, merge, author_date_weekday, committer_date_weekday,
        {", ".join(_z(c) for c in _SCALED)} FROM derived""")
 def feature_table(spark, sf_dir):
-    df = features.feature_table(commits(spark, sf_dir, *VIEW_COLUMNS), keep_hash=True)
+    df = features.feature_table(stage(commits(spark, sf_dir, *VIEW_COLUMNS)), keep_hash=True)
     return rounded(df, *_SCALED)
 
 

@@ -161,7 +161,7 @@ def impact_labels(spark, sf_dir):
 
 def _features(spark, sf_dir):
     """The feature table, computed once for all fits."""
-    return stage(features.feature_table(commits(spark, sf_dir, *VIEW_COLUMNS), keep_hash=True))
+    return stage(features.feature_table(stage(commits(spark, sf_dir, *VIEW_COLUMNS)), keep_hash=True))
 
 
 @query("rbf_features")

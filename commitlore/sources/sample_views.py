@@ -6,7 +6,7 @@ asked-for columns need are planned.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from commitlore.operators.commit_rollups import main_change_type, main_file_type
+from commitlore.operators.commit_rollups import commit_rollups
 
 _FROM_CUSTOMER = {"author", "branches", "msg", "project_name"}
 _FROM_LINES = {
@@ -115,8 +115,6 @@ def commits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     rollups = [c for c in ("main_file_type", "main_change_type") if c in wanted]
     plain = [c for c in wanted if c not in rollups]
     result = view.select(*[made[c].alias(c) for c in dict.fromkeys(["hash", *plain])])
-    if "main_file_type" in rollups:
-        result = result.join(main_file_type(file_changes(spark, sf_dir)), "hash", "left")
-    if "main_change_type" in rollups:
-        result = result.join(main_change_type(file_changes(spark, sf_dir)), "hash", "left")
+    if rollups:
+        result = result.join(commit_rollups(file_changes(spark, sf_dir)).select("hash", *rollups), "hash", "left")
     return result.select(*wanted)

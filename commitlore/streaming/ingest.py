@@ -1,7 +1,9 @@
 """Adding new commits to a table, in batches or as they arrive."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from commitlore.session import reused
 
 SMALL_BATCH = 1_000_000
 
@@ -32,13 +34,10 @@ def _table_or_none(spark, path, schema):
 def ingest_new_commits(incoming: DataFrame, path: str) -> int:
     """Append what a Parquet table lacks; returns the number of rows added."""
     existing = _table_or_none(incoming.sparkSession, path, incoming.schema)
-    fresh = new_commits(incoming, existing).persist()
-    try:
+    with reused(new_commits(incoming, existing)) as fresh:
         added = fresh.count()
         if added:
             fresh.write.mode("append").parquet(path)
-    finally:
-        fresh.unpersist()
     return added
 
 
@@ -48,13 +47,14 @@ def stream_ingest_commits(stream: DataFrame, path: str, checkpoint: str):
     A batch writes its own partition and replaces it when it is run again after a
     failure; that partition is left out of the look-up, so a retry gives the same rows.
     """
-    columns = stream.schema
+    with_batch = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = _table_or_none(spark, path, columns.add("batch_id", "long") if "batch_id" not in columns.names else columns)
+        stored = _table_or_none(spark, path, with_batch)
         earlier = stored.filter(F.col("batch_id") != batch_id) if stored is not None else None
-        new_commits(batch, earlier).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        with reused(batch) as rows:
+            new_commits(rows, earlier).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

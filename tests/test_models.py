@@ -85,7 +85,7 @@ def test_impact_of_a_file(spark, table):
     assert [r["file"] for r in found["influenced"].collect()] == ["u.py", "v.py"]
     assert found["scores"].count() == 3 and found["skipped"].first()["task"] == "v.py"
     summary = impact.file_impact_summary(found["scores"], found["importances"])
-    assert summary["mean_f1"].count() == 3 and summary["mean_importance"].count() == 3
+    assert summary["mean_f1"].count() == 3 and summary["mean_importance"].count() == 6
 
 
 def test_reports_leave_out_what_they_cannot_do(spark):
