@@ -151,7 +151,8 @@ def document_embeddings(spark, sf_dir):
     return features.expanded_vector(df, "embedding", "w2v_", 50).drop("text")
 
 
-@query("train_test_split")
+@query("train_test_split", f"""WITH {COMMITS}, c AS (SELECT branches, count(*) AS n, cast(ceil(0.2e0 * count(*)) AS bigint) AS t FROM commits GROUP BY 1)
+SELECT branches, true AS is_test, t AS "rows" FROM c UNION ALL SELECT branches, false, n - t FROM c""")
 def train_test_split(spark, sf_dir):
     df = commits(spark, sf_dir, "hash", "branches")
     return features.train_test_split(df, "hash", label="branches").groupBy("branches", "is_test").agg(F.count("*").alias("rows"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from commitlore.operators.filters import filter_by_repo_config
 from commitlore.plans import reports
-from commitlore.registry import activity as A, quality as Q
+from commitlore.registry import activity, baskets, quality  # noqa: F401  their SQL is put together below
 from commitlore.registry.base import COMMITS, COMMITS_WITH_ROLLUPS, FILE_CHANGES, SQL, query, rounded
 from commitlore.schema import DMM_COLUMNS
 from commitlore.session import fresh_path
@@ -205,7 +205,12 @@ def activity_report(spark, sf_dir):
     return rounded(reports.tidy({k: found[k] for k in kept}), "value")
 
 
-@query("mine_associations")
+@query("mine_associations", _report_sql([
+    ("totals", [], ["total_files", "total_commits"], SQL["basket_totals"]),
+    ("itemset_statistics", [], ["total_itemsets", "avg_support", "max_support"]),
+    ("rule_statistics", [], ["total_rules", "avg_confidence", "avg_lift", "avg_support", "max_lift", "min_lift"]),
+    ("network_metrics", [], ["nodes", "edges", "density"], SQL["association_network_metrics"]),
+]))
 def mine_associations(spark, sf_dir):
     found = reports.mine_associations(file_changes(spark, sf_dir))
     return rounded(reports.tidy({k: found[k] for k in ("totals", "itemset_statistics", "rule_statistics", "network_metrics")}), "value")

@@ -41,3 +41,19 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", [
+    "co_change_pairs", "frequent_itemsets", "similarity_graph", "silhouette_rows", "confusion_matrix", "quality_score_bands",
+    "filter_by_repo_config", "churn_scatter", "label_encode", "cumulative_churn",
+])
+def test_plan_has_no_cross_join(spark, sf_dir, name):
+    plan = entry_module.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_what_is_needed(spark, sf_dir):
+    plan = entry_module.queries()["monthly_commits"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "o_totalprice" not in plan
+    plan = entry_module.queries()["drop_empty_dmm"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "customer" not in plan and "l_extendedprice" not in plan
