@@ -32,12 +32,13 @@ def distinct_files(file_changes: DataFrame, column: str = "path") -> DataFrame:
     return visible_files(file_changes, column).select("file").distinct()
 
 
-def min_frequency_files(files: DataFrame, min_count: int = MIN_FILE_COUNT) -> DataFrame:
+def min_frequency_files(files: DataFrame, min_count: int = MIN_FILE_COUNT, weight: str | None = None) -> DataFrame:
     """(file, mentions) of files named often enough; nothing if fewer than two are.
 
-    A file named twice in one commit counts twice.
+    A file named twice in one commit counts twice, by its two rows or in column `weight`.
     """
-    kept = files.groupBy("file").agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= min_count)
+    mentions = F.sum(weight) if weight else F.count("*")
+    kept = files.groupBy("file").agg(mentions.alias("mentions")).filter(F.col("mentions") >= min_count)
     return kept.filter(kept.agg(F.count("*")).scalar() >= 2)
 
 
@@ -63,9 +64,10 @@ def file_memberships(
     file_changes: DataFrame, min_count: int = MIN_FILE_COUNT, max_files: int | None = MAX_FILES, column: str = "path",
 ) -> DataFrame:
     """(hash, file) after cleaning, the frequency threshold and the cap."""
-    files = visible_files(file_changes, column)
-    kept = top_files_cap(min_frequency_files(files, min_count), max_files)
-    return basket_membership(files, kept)
+    named = visible_files(file_changes, column).groupBy("hash", "file").agg(F.count("*").alias("n"))
+    listed = stage(named)  # read for the frequencies and for the baskets
+    kept = top_files_cap(min_frequency_files(listed, min_count, "n"), max_files)
+    return _of_files(listed, kept).select("hash", "file")
 
 
 def _supported(memberships: DataFrame, min_support: float) -> DataFrame:
@@ -278,8 +280,8 @@ def co_change_pairs(files: DataFrame, min_support: float = MIN_SUPPORT, ordered:
     bounds a commit's list by the mean list length over `min_support`, and equal lists
     are counted before their pairs are made.
     """
-    mentions = _first_mentions(files)
-    total = files.agg(F.count_distinct("hash")).scalar()
+    mentions = stage(_first_mentions(files))
+    total = mentions.agg(F.count_distinct("hash")).scalar()
     needed = F.lit(min_support) * total
     frequent = mentions.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
     kinds = _counted_baskets(_of_files(mentions, frequent), F.col("pos"))
