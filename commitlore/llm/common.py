@@ -98,3 +98,27 @@ def buffered(frames, most_chars: int, column: str = "text"):
             held, size = [], 0
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+#: Characters of text that a sample brings to the driver, whatever its number of rows.
+SAMPLE_CHARS = 12_000_000
+
+
+def sampled_texts(docs: DataFrame, label: str, max_rows: int, labels: DataFrame | None = None, most_chars: int = SAMPLE_CHARS) -> list:
+    """(text, label) of at most `max_rows` different texts and `most_chars` characters, those of the smallest hash of text.
+
+    The label is a column of `docs`, or of `labels` by doc_id. Hashes alone are sorted; the chosen rows then come by a join
+    with their list, which is bounded. Of rows with one text the smallest doc_id speaks; null doc_ids and texts do not.
+    """
+    keyed = docs.filter("doc_id is not null and text is not null").withColumn("_h", F.xxhash64("text")).withColumn("_n", F.char_length("text"))
+    narrow = keyed.select("doc_id", "_h", "_n", *([] if labels is not None else [label]))
+    narrow = narrow if labels is None else narrow.join(labels.select("doc_id", label), "doc_id")
+    first = F.min(F.struct("doc_id", label, "_n")).alias("row")
+    rows = narrow.filter(F.col(label).isNotNull()).groupBy("_h").agg(first).orderBy("_h").limit(max_rows).select("_h", "row.*").collect()
+    chars = np.cumsum([r["_n"] for r in rows])
+    rows = [r for r, n in zip(rows, chars, strict=True) if n <= most_chars]
+    if not rows:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["_h"]) for r in rows], "doc_id long, _h long"))
+    found = {r["_h"]: r["text"] for r in keyed.join(wanted, ["doc_id", "_h"]).dropDuplicates(["_h"]).select("_h", "text").collect()}
+    return [(found[r["_h"]], r[label]) for r in rows]

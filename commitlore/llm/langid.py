@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlore.llm.common import encoded, extended, ragged, small_batches
+from commitlore.llm.common import encoded, extended, ragged, sampled_texts, small_batches
 
 #: Bytes of a segment; states start anew at each, so that long texts are many short chains.
 SEGMENT = 48
@@ -198,10 +198,9 @@ def fit_languages(docs: DataFrame, where=None, max_rows: int = 1500, **settings)
 
     Rows without text, language or letter are left out. With no row at all the model knows no language.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = (rows if where is None else rows.filter(where)).select("text", "lang")
-    rows = rows.filter(F.col("text").rlike(r"\p{L}")).orderBy(F.xxhash64("text"), "text", "lang").limit(max_rows).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], **settings)
+    rows = docs.filter(F.col("text").rlike(r"\p{L}"))
+    rows = sampled_texts(rows if where is None else rows.filter(where), "lang", max_rows)
+    return fit([text for text, _ in rows], [lang for _, lang in rows], **settings)
 
 
 def languages(docs: DataFrame, model: dict) -> DataFrame:
