@@ -1,6 +1,6 @@
 """Toxic spans: a linear-chain conditional random field with two states, and document scores from its marginals.
 
-Labels come by document. In a bounded sample on the driver, words are chosen that stand in toxic documents too often
+Labels come by document. In a bounded sample on the driver, words and word stems are chosen that stand in toxic documents too often
 and in too many places for chance; their occurrences are the labelled tokens on which the field is trained. Inference runs forward-backward over the tokens of whole texts, many texts at a time.
 """
 
@@ -11,32 +11,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlore.llm.common import buffered, encoded, extended, plain_words, ragged, small_batches
+from commitlore.llm.common import buffered, encoded, extended, plain_words, ragged, sampled_texts, small_batches
 
 #: Tokens of a training segment.
 STEPS = 24
 #: Characters of text that a task holds at a time.
 MOST_CHARS = 12_000_000
+#: Lengths of word beginnings, in bytes, that are features.
+STEMS = (4, 5, 6, 7)
+#: Words whose scores a task remembers.
+MEMORY = 300_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def token_lexicon(words: list[list[bytes]], toxic: list[int], precision: float = 0.9, chance: float = 0.01) -> set[bytes]:
-    """Words that label tokens: those in toxic texts too often, and in too many places, for chance.
+def features(word: bytes) -> list[bytes]:
+    """What speaks for a word: itself, and its first 4 to 7 bytes where it is longer, so that forms of one stem count together."""
+    return [word, *(b"^" + word[:n] for n in STEMS if n < len(word))]
 
-    A word's support is the number of different (word before, word after) in which it stands, so that a passage copied
-    from text to text counts once. At least `precision` of it must be in toxic texts, and so much that some word
-    of the vocabulary had as much with a probability below `chance` if toxic texts were like all others.
+
+def token_lexicon(words: list[list[bytes]], toxic: list[int], precision: float = 0.97, chance: float = 0.01) -> set[bytes]:
+    """Features that label tokens: those in toxic texts too often, and in too many places, for chance.
+
+    A feature's support is the number of different (word before, word after) in which it stands, so that a passage copied
+    from text to text counts once. At least `precision` of it must be in toxic texts, and so much that some feature had as
+    much with a probability below `chance` if toxic texts were like all others.
     """
-    places: tuple[dict, dict] = ({}, {})
-    for text, label in zip(words, toxic, strict=True):
-        for before, w, after in zip([b"", *text], text, [*text[1:], b""]):
-            places[label].setdefault(w, set()).add((before, after))
     tokens = [sum(len(t) for t, k in zip(words, toxic, strict=True) if k == label) for label in (0, 1)]
     if not tokens[1] or not tokens[0]:
         return set()
-    bits = -np.log(tokens[1] / sum(tokens))
-    needed = (np.log(len(places[0].keys() | places[1].keys())) - np.log(chance)) / bits
-    return {w for w, found in places[1].items() if len(found) >= max(2, needed) and len(found) >= precision * (len(found) + len(places[0].get(w, ())))}
+    texts: tuple[dict, dict] = ({}, {})
+    for text, label in zip(words, toxic, strict=True):
+        for f in {f for w in set(text) for f in features(w)}:
+            texts[label][f] = texts[label].get(f, 0) + 1
+    share = tokens[1] / sum(tokens)
+    needed = max(2, (np.log(len(texts[0].keys() | texts[1].keys())) - np.log(chance)) / -np.log(share))
+    likely = {f for f, n in texts[1].items() if n >= 2 and n >= 0.9 * (n + texts[0].get(f, 0))}
+    places: dict = {f: (set(), set()) for f in likely}
+    for text, label in zip(words, toxic, strict=True):
+        for before, w, after in zip([b"", *text], text, [*text[1:], b""]):
+            for f in features(w):
+                if f in likely:
+                    places[f][label].add(hash((before, after)))
+    return {f for f, (clean, found) in places.items() if len(found) >= needed and len(found) >= precision * (len(found) + len(clean))}
 
 
 def messages(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +100,29 @@ def marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray) ->
 
 
 def fit_field(words: list[list[bytes]], labels: list[list[int]], rounds: int = 60, rate: float = 0.4, ridge: float = 1e-3) -> dict:
-    """Train emission weights by word and the transition potentials by gradient ascent on the likelihood of the tags."""
-    flat = [w for text in words for w in text]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(set(flat)))}
-    ids = np.array([vocabulary[w] for w in flat], np.int64)
+    """Train emission weights by feature and the transition potentials by gradient ascent on the likelihood of the tags."""
+    distinct = sorted({w for text in words for w in text})
+    number = {w: i for i, w in enumerate(distinct)}
+    vocabulary = {f: i + 1 for i, f in enumerate(sorted({f for w in distinct for f in features(w)}))}
+    ids = np.array([number[w] for text in words for w in text], np.int64)
     y = np.array([t for tags in labels for t in tags], np.int64)
     lengths = np.array([len(t) for t in words], np.int64)
-    # index 0 is the bias, which every token has and which alone speaks for words not seen
+    # which features each different word has
+    word_of, feature_of = (np.array(v, np.int64) for v in zip(*((number[w], vocabulary[f]) for w in distinct for f in features(w)))) if distinct else (ids, ids)
+    # index 0 is the bias, which every token has and which alone speaks for words without a known feature
     n = len(vocabulary) + 1
     weight, potential = np.zeros(n), np.zeros((2, 2))
     g_w, g_t = np.full(n, 1e-6), np.full((2, 2), 1e-6)
     owner, place = ragged(lengths)
     inner = np.flatnonzero(place > 0)
-    share = np.bincount(ids, minlength=n)
+    share = np.bincount(feature_of, np.bincount(ids, minlength=len(distinct))[word_of], n)
     for _ in range(rounds if len(ids) else 0):
-        odds = np.exp(np.clip(weight[0] + weight[ids], -30, 30))
+        by_word = np.bincount(word_of, weight[feature_of], len(distinct))
+        odds = np.exp(np.clip(weight[0] + by_word[ids], -30, 30))
         t = np.exp(potential)
         forward, backward = messages(odds, lengths, t)
         gap = y - (1 - 1 / (1 + forward * backward))
-        d_w = np.bincount(ids, gap, n) - ridge * weight * np.maximum(1, share)
+        d_w = np.bincount(feature_of, np.bincount(ids, gap, len(distinct))[word_of], n) - ridge * weight * np.maximum(1, share)
         d_w[0] = gap.sum()
         left, right = forward[inner - 1], odds[inner] * backward[inner]
         pairs = np.array([[np.full(len(inner), t[0, 0]), t[0, 1] * right], [t[1, 0] * left, t[1, 1] * left * right]])
@@ -115,15 +135,22 @@ def fit_field(words: list[list[bytes]], labels: list[list[int]], rounds: int = 6
         g_t += d_t * d_t
         weight += rate * d_w / np.sqrt(g_w)
         potential += 0.1 * rate * d_t / np.sqrt(g_t)
-    return {"words": {w: float(weight[i]) for w, i in vocabulary.items()}, "bias": float(weight[0]), "transition": np.exp(potential)}
+    return {"features": {f: float(weight[i]) for f, i in vocabulary.items()}, "bias": float(weight[0]), "transition": np.exp(potential)}
 
 
 def token_marginals(raw: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Probability of the toxic state for every token of each text, laid end to end; tokens of each text."""
-    get = model["words"].get
+    weight, known = model["features"], model.setdefault("known", {})
     scores, lengths = [], np.zeros(len(raw), np.int64)
     for i, text in enumerate(raw):
-        found = [get(w, 0.0) for w in plain_words(text)]
+        found = []
+        for w in plain_words(text):
+            score = known.get(w)
+            if score is None:
+                score = sum(weight.get(f, 0.0) for f in features(w))
+                if len(known) < MEMORY:
+                    known[w] = score
+            found.append(score)
         lengths[i] = len(found)
         scores.append(np.array(found, np.float64))
     flat = np.concatenate(scores) if scores else np.zeros(0)
@@ -142,7 +169,7 @@ def _strongest(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = 4000, seed: int = 5) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = 2400, seed: int = 5) -> dict:
     """Fit on at most `max_rows` labelled rows, half of them toxic where there are enough, by smallest hash of text.
 
     `labels` has doc_id and toxic; null labels are left out. Of several labels of a document the highest counts. With no
@@ -150,20 +177,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int =
     """
     own = docs if where is None else docs.filter(where)
     marked = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
-    joined = own.select("doc_id", "text").join(marked, "doc_id")
-    pick = lambda t: joined.filter(F.col("is_toxic") == t).orderBy(F.xxhash64("text"), "doc_id").select("text").limit(max_rows // 2).collect()
-    toxic, clean = ([plain_words(t) for t in encoded(r["text"] for r in pick(k))] for k in (1, 0))
+    toxic, clean = (
+        [plain_words(t) for t in encoded(t for t, _ in sampled_texts(own, "is_toxic", max_rows // 2, marked.filter(F.col("is_toxic") == k)))] for k in (1, 0)
+    )
     words, target = toxic + clean, [1] * len(toxic) + [0] * len(clean)
     lexicon = token_lexicon(words, target)
     rng = np.random.default_rng(seed)
     pieces = [text[i : i + STEPS] for text in words for i in range(0, len(text), STEPS)]
-    tagged = [i for i, p in enumerate(pieces) if not lexicon.isdisjoint(p)]
+    tagged = [i for i, p in enumerate(pieces) if any(not lexicon.isdisjoint(features(w)) for w in p)]
     plain = sorted(set(range(len(pieces))) - set(tagged))
     plain = [plain[i] for i in sorted(rng.permutation(len(plain))[: 4 * len(tagged) + 500])]
     chosen = [pieces[i] for i in tagged + plain]
-    model = fit_field(chosen, [[int(w in lexicon) for w in p] for p in chosen])
-    # words that the field cannot tell from any other need no entry
-    model["words"] = {w: v for w, v in model["words"].items() if abs(v) > 1e-3}
+    model = fit_field(chosen, [[int(not lexicon.isdisjoint(features(w))) for w in p] for p in chosen])
+    # features that hardly matter need no entry
+    model["features"] = {f: v for f, v in model["features"].items() if abs(v) > 1e-2}
     raw = [b" ".join(t) for t in words]
     x, y = _strongest(*token_marginals(raw, model)), np.array(target, float)
     slope, offset = 1.0, 0.0
@@ -172,6 +199,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int =
         gap = weight * (y - 1 / (1 + np.exp(-(slope * x + offset))))
         slope += 0.05 * ((gap * x).sum() / len(y) - 1e-3 * slope)
         offset += 0.05 * gap.sum() / len(y) * 10
+    model.pop("known", None)
     return model | {"slope": float(slope), "offset": float(offset) if toxic else -20.0, "lexicon": sorted(lexicon)}
 
 
@@ -187,7 +215,7 @@ def toxic_scores(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        fitted = shared.value
+        fitted = dict(shared.value)
         for frame in buffered(batches, MOST_CHARS):
             texts = frame["text"].tolist()
             p, lengths = token_marginals(encoded(texts), fitted)
