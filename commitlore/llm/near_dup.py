@@ -130,7 +130,7 @@ def _values(data: bytes) -> np.ndarray:
 
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-                       T.StructField("shingles", T.BinaryType())])
+                       T.StructField("size", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def signed(docs: DataFrame) -> DataFrame:
             parts = np.split(element, ends[:-1]) if n else []
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"], "node": keys.astype(np.int64),
-                "bands": [b if len(p) else None for b, p in zip(bands, parts, strict=True)], "shingles": [_deltas(p) for p in parts],
+                "bands": [b if len(p) else None for b, p in zip(bands, parts, strict=True)], "size": [len(p) for p in parts], "shingles": [_deltas(p) for p in parts],
             })
 
     rows = docs.select(F.col("doc_id").cast("long"), _tie().alias("tie"), "text")
@@ -177,45 +177,83 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
 
 
+def _divided(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (bucket, node) with their component, of buckets that hold more than one."""
+    if labels is None:
+        return live.withColumn("component", F.col("node"))
+    named = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(ends.filter("low < high").select("bucket"), "bucket")
+
+
+def _may_link(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Rows (bucket, node) less those that can have no link in their bucket: an exact bound, linear in shingles.
+
+    Of a pair of similarity s each text shares s / (1 + s) of both sizes together. Shingles that no other text of these
+    buckets has are shared with none, and a partner has the size of the least text of the bucket or more.
+    """
+
+    def spread(frames):
+        import pandas as pd
+
+        for frame in frames:
+            parts = [_values(x) for x in frame["shingles"]]
+            nodes = np.repeat(frame["node"].to_numpy(np.int64), [len(p) for p in parts])
+            yield pd.DataFrame({"node": nodes, "shingle": np.concatenate(parts).astype(np.int64) if parts else nodes})
+
+    held = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    single = held.select("node", "shingles").mapInPandas(spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = single.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sized = rows.join(held.select("node", "size"), "node").join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    smallest = sized.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    bound = (F.col("size") + F.greatest(F.col("smallest"), F.col("size") * F.lit(least))) * F.lit(least / (1 + least))
+    return sized.join(smallest, "bucket").filter(F.col("shared") >= bound - F.lit(1e-6)).select("bucket", "node", "size", "shared")
+
+
 def links(signatures: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between different word sequences that join near-duplicates, and their components.
 
-    Members of a band's bucket are compared with pivots of the bucket, not with each other: first each text with the one smallest pivot it
-    meets, later with up to eight pivots a bucket. A pivot that has been compared leaves its bucket, and a bucket is done when what is left of it
-    lies in one component: every pair of a bucket is then compared, or joined through others already.
+    Members of a bucket are not compared with each other but with pivots: first each text with the smallest pivot it meets, then, where a
+    bucket still holds several components, with the pivot of each bucket. Of what is left, texts that by an exact bound can have no link go;
+    for the rest, members outside a bucket's largest component become pivots in turn and leave the bucket once compared. A bucket is
+    done when it lies in one component: every pair of a bucket has then been compared, excluded, or joined through others.
     """
     single = signatures.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = single.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    live = stage(banded.join(shared, "bucket"))
-    wanted = live.select("node").distinct()
-    sets = stage(signatures.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    found, labels = None, None
-    first = True
-    while True:
-        if labels is None:
-            named = live.withColumn("component", F.col("node"))
-        else:
-            named = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        named = stage(named.join(mixed, "bucket"))
-        group = F.lit(0) if first else F.pmod("node", F.lit(8))
-        pivots = named.groupBy("bucket", group.alias("part")).agg(F.min("node").alias("pivot"), F.min_by("component", "node").alias("of"))
-        met = named.join(pivots, "bucket").filter("node <> pivot and component <> of")
-        if first:
-            pairs = met.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-        else:
-            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    met = stage(banded.join(shared, "bucket").select("bucket", "node", "pivot"))
+    sets = stage(signatures.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")))
+    pairs = met.filter("node <> pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    found = stage(_similar(pairs, sets, least))
+    labels = components(found)
+
+    def compared(pairs: DataFrame):
+        nonlocal found, labels
         new = stage(_similar(pairs, sets, least))
-        if not first:
-            live = named.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-            live = stage(live)
-        found = new if found is None else found.unionByName(new)
-        if not first and named.isEmpty():
-            return found, labels
-        if first or not new.isEmpty():
+        found = found.unionByName(new)
+        if not new.isEmpty():
             labels = components(found)
-        first = False
+
+    live = stage(_divided(met.select("bucket", "node"), labels))
+    pivots = live.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("component", "node").alias("of"))
+    compared(live.join(pivots, "bucket").filter("component <> of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    left = _divided(live.select("bucket", "node"), labels).join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+    live = stage(_may_link(stage(left.select("bucket", "node")), sets, least))
+    while True:
+        live = stage(_divided(live.select("bucket", "node", "size", "shared"), labels))
+        if live.isEmpty():
+            return found, labels
+        sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+        others = live.join(largest, "bucket").filter("component <> largest")
+        row = F.struct("component", "size", "shared")
+        pivots = stage(others.groupBy("bucket", F.pmod("node", F.lit(8)).alias("part")).agg(F.min("node").alias("pivot"), F.min_by(row, "node").alias("of")))
+        x, y = live.alias("x"), pivots.select(F.col("bucket").alias("in"), "pivot", "of")
+        needed = (F.col("x.size") + F.col("of.size")) * F.lit(least / (1 + least)) - F.lit(1e-6)
+        alike = (F.col("x.component") != F.col("of.component")) & (F.least("x.shared", "of.shared", "x.size", "of.size") >= needed)
+        near = x.join(y, (F.col("x.bucket") == F.col("in")) & alike)
+        compared(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        live = live.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
