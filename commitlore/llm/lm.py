@@ -59,7 +59,8 @@ def text_tokens(raw: list[bytes]):
 
 
 def ngrams(tokens, before) -> dict:
-    return {"uni": tokens, "bi": mix64(mix64(before) + tokens)}
+    # pairs keep 56 bits, which do for estimates; single tokens, whose counts are reported, keep all
+    return {"uni": tokens, "bi": mix64(mix64(before) + tokens) >> np.uint64(8) << np.uint64(8)}
 
 
 BLOCK = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("roles", T.BinaryType()),
@@ -84,7 +85,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             raw = encoded(frame["text"])
             yield pd.DataFrame({
                 "block": [f"{task}-{k}"], "ids": [frame["doc_id"].to_numpy("<i8").tobytes()], "roles": [frame["role"].to_numpy(np.uint8).tobytes()],
-                "lengths": [packed(np.array([len(t) for t in raw], np.uint64))], "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(raw))],
+                "lengths": [packed(np.array([len(t) for t in raw], np.uint64))], "texts": [zstandard.ZstdCompressor(level=6).compress(b"".join(raw))],
             })
 
     return stage(small_batches(docs).mapInPandas(gather, BLOCK))
