@@ -114,7 +114,9 @@ def _features(raw: list[bytes], ranks: np.ndarray):
         kind = np.dtype(np.uint32) if n <= 1 << 21 else np.dtype(np.uint64)
         low = 21 if n <= 1 << 21 else 48
         key = (np.where(rank > 0, rank, LEVELS + 1).astype(kind) << kind.type(low)) | np.arange(n, dtype=kind)
-        padded = np.concatenate([key, np.full(WINDOW - 1, np.iinfo(kind).max, kind)])
+        # the first text, too, stands behind 63 windows of no text, as all others do
+        edge = np.full(WINDOW - 1, np.iinfo(kind).max, kind)
+        padded = np.concatenate([edge, key, edge])
         width = 1
         while width < WINDOW:
             padded = np.minimum(padded[:-width], padded[width:])

@@ -137,8 +137,11 @@ def segments(raw: list[bytes], length: int = SEGMENT):
     return out, owner, used
 
 
-def fit(texts: list, labels: list, hidden: int = 6, epochs: int = 6, batch: int = 192, rate: float = 0.01, seed: int = 7, most_segments: int = 8) -> dict:
-    """Train the network on labelled texts; of each text up to `most_segments` segments, spread evenly, are used."""
+def fit(texts: list, labels: list, hidden: int = 6, epochs: int = 6, batch: int = 192, rate: float = 0.01, seed: int = 7, most_segments: int = 8, least_steps: int = 300) -> dict:
+    """Train the network on labelled texts; of each text up to `most_segments` segments, spread evenly, are used.
+
+    All segments are gone through `epochs` times, and again until at least `least_steps` steps are taken.
+    """
     classes = sorted(set(labels))
     rng = np.random.default_rng(seed)
     x, owner, used = segments(encoded(texts))
@@ -154,7 +157,8 @@ def fit(texts: list, labels: list, hidden: int = 6, epochs: int = 6, batch: int
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     share = np.bincount(y, minlength=k) if len(y) else np.ones(k)
     balance = (len(y) / k / np.maximum(share, 1)) ** 0.5
-    n_steps = max(1, epochs * (len(y) // batch))
+    epochs = max(epochs, -(-least_steps // max(1, len(y) // batch))) if len(y) else 0
+    n_steps = max(1, epochs * max(1, len(y) // batch))
     step_no = 0
     for _ in range(epochs if k > 1 else 0):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):

@@ -49,7 +49,7 @@ def shingles(raw: list[bytes], size: int = SHINGLE):
     acc = np.zeros(len(h), np.uint64)
     for j in range(size):
         ahead = np.zeros(len(h), np.uint64)
-        ahead[: len(h) - j if j else None] = h[j:]
+        ahead[: max(0, len(h) - j)] = h[j:]
         inside = place + j < lengths[owner]
         acc = np.where(inside, mix64(acc * np.uint64(3) + ahead), acc)
     first = (place + size <= lengths[owner]) | ((place == 0) & (lengths[owner] < size))
