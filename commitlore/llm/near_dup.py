@@ -8,7 +8,7 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ BANDS, ROWS = 36, 7
 MOST_CHARS = 4_000_000
 #: Bits of a shingle's hash inside a text.
 BITS = 40
+#: Words of 64 bits that mark the shingles of a text; pivots of a bucket in one round, which are 8 in the first.
+BIT_WORDS, MOST_PIVOTS = 8, 512
 
 
 def shingles(raw: list[bytes], size: int = SHINGLE):
@@ -129,12 +131,12 @@ def _values(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64)
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-                       T.StructField("size", T.LongType()), T.StructField("shingles", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()),
+                       T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), node (a hash of the whole word sequence), band keys and packed distinct shingles of each text."""
+    """doc_id, tie and row (hashes of the text, of doc_id and text), node (a hash of the whole word sequence), band keys and number of shingles of each text."""
 
     def sign(frames):
         import pandas as pd
@@ -143,21 +145,40 @@ def signed(docs: DataFrame) -> DataFrame:
             element, count, owner, keys = shingles(encoded(frame["text"]))
             n = len(frame)
             bands = band_keys(dart_signatures(element, 1 + np.log(count), owner, n)).astype(np.int64)
-            ends = np.cumsum(np.bincount(owner, minlength=n))
-            parts = np.split(element, ends[:-1]) if n else []
+            sizes = np.bincount(owner, minlength=n)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"], "node": keys.astype(np.int64),
-                "bands": [b if len(p) else None for b, p in zip(bands, parts, strict=True)], "size": [len(p) for p in parts], "shingles": [_deltas(p) for p in parts],
+                "doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"], "row": frame["row"], "node": keys.astype(np.int64),
+                "bands": [b if size else None for b, size in zip(bands, sizes, strict=True)], "size": sizes,
             })
 
-    rows = docs.select(F.col("doc_id").cast("long"), _tie().alias("tie"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), _tie().alias("tie"), _row().alias("row"), "text")
     return small_batches(rows).mapInPandas(sign, SIGNED)
 
 
+def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, size and packed distinct shingles of the texts in `chosen` (node, row), one row a node."""
+
+    def pack(frames):
+        import pandas as pd
+
+        for frame in buffered(frames, MOST_CHARS):
+            element, _, owner, _ = shingles(encoded(frame["text"]))
+            ends = np.cumsum(np.bincount(owner, minlength=len(frame)))
+            parts = np.split(element, ends[:-1]) if len(frame) else []
+            yield pd.DataFrame({"node": frame["node"], "size": [len(p) for p in parts], "shingles": [_deltas(p) for p in parts]})
+
+    rows = docs.select(_row().alias("row"), "text").join(chosen, "row").select("node", "text")
+    return small_batches(rows).mapInPandas(pack, "node long, size long, shingles binary").dropDuplicates(["node"])
+
+
 def _tie():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _row():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b), those whose exact Jaccard similarity of distinct shingles is at least `least`."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
@@ -177,20 +198,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
 
 
-def _divided(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _divided(live: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (bucket, node) with their component, of buckets that hold more than one."""
-    if labels is None:
-        return live.withColumn("component", F.col("node"))
     named = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return named.join(ends.filter("low < high").select("bucket"), "bucket")
 
 
-def _may_link(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Rows (bucket, node) less those that can have no link in their bucket: an exact bound, linear in shingles.
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Rows (bucket, node, size, shared, bits) of `nodes`, where texts of the least similarity or more share a bucket: an exact filter.
 
-    Of a pair of similarity s each text shares s / (1 + s) of both sizes together. Shingles that no other text of these
-    buckets has are shared with none, and a partner has the size of the least text of the bucket or more.
+    Such a pair shares `least` of the shingles of each. In any one order of all shingles, the first 1 - `least` of both
+    therefore have one in common, which is the bucket; with the rarest first, buckets are small. Shingles of one text
+    alone come first and make no bucket; `shared` counts the others, and `bits` marks the places their hashes fall on. Linear in shingles.
     """
 
     def spread(frames):
@@ -198,67 +218,78 @@ def _may_link(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
         for frame in frames:
             parts = [_values(x) for x in frame["shingles"]]
-            nodes = np.repeat(frame["node"].to_numpy(np.int64), [len(p) for p in parts])
-            yield pd.DataFrame({"node": nodes, "shingle": np.concatenate(parts).astype(np.int64) if parts else nodes})
+            lengths = [len(p) for p in parts]
+            owners = np.repeat(frame["node"].to_numpy(np.int64), lengths)
+            yield pd.DataFrame({"node": owners, "size": np.repeat(lengths, lengths), "bucket": np.concatenate(parts).astype(np.int64) if parts else owners})
+
+    held = small_batches(sets.join(nodes, "node", "left_semi").select("node", "shingles"))
+    single = held.mapInPandas(spread, "node long, size long, bucket long")
+    counts = single.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    own = Window.partitionBy("node")
+    ranked = single.join(counts, "bucket").withColumn("place", F.row_number().over(own.orderBy("n", "bucket"))).withColumn("shared", F.count("*").over(own))
+    at, word = F.pmod("bucket", F.lit(64)).cast("int"), F.pmod(F.shiftright("bucket", 6), F.lit(BIT_WORDS))
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    ranked = ranked.withColumn("bits", F.array(*(F.bit_or(F.when(word == i, mark).otherwise(F.lit(0).cast("long"))).over(own) for i in range(BIT_WORDS))))
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-6)) + 1
+    return ranked.filter(F.col("place") + F.col("size") - F.col("shared") <= first).select("bucket", "node", "size", "shared", "bits")
+
+
+def _can_link(x: str, y: str, least: float):
+    """Whether rows `x` and `y` can be of the least similarity: an exact bound on what they share, from sizes and bits.
+
+    Each place that only one of them marks holds a shingle of it that the other lacks.
+    """
+    needed = (F.col(f"{x}.size") + F.col(f"{y}.size")) * F.lit(least / (1 + least)) - F.lit(1e-6)
 
-    held = sets.join(rows.select("node").distinct(), "node", "left_semi")
-    single = held.select("node", "shingles").mapInPandas(spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    alone = single.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sized = rows.join(held.select("node", "size"), "node").join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-    smallest = sized.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    bound = (F.col("size") + F.greatest(F.col("smallest"), F.col("size") * F.lit(least))) * F.lit(least / (1 + least))
-    return sized.join(smallest, "bucket").filter(F.col("shared") >= bound - F.lit(1e-6)).select("bucket", "node", "size", "shared")
+    def most(a, b):
+        lacking = (F.bit_count(F.col(f"{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[i]))) for i in range(BIT_WORDS))
+        return F.col(f"{a}.shared") - sum(lacking, F.lit(0))
 
+    return (F.least(f"{x}.size", f"{y}.size") >= needed) & (most(x, y) >= needed) & (most(y, x) >= needed)
 
-def links(signatures: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+
+def links(docs: DataFrame, signatures: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between different word sequences that join near-duplicates, and their components.
 
-    Members of a bucket are not compared with each other but with pivots: first each text with the smallest pivot it meets, then, where a
-    bucket still holds several components, with the pivot of each bucket. Of what is left, texts that by an exact bound can have no link go;
-    for the rest, members outside a bucket's largest component become pivots in turn and leave the bucket once compared. A bucket is
-    done when it lies in one component: every pair of a bucket has then been compared, excluded, or joined through others.
+    Members of a bucket are not compared with each other but with pivots: first each text with the smallest pivot of a fitting size it meets.
+    Texts in buckets that still hold several components are dealt anew, by their rare shingles, into buckets that lose no
+    pair. There, members outside a bucket's largest component become pivots in turn and leave the bucket once compared. A bucket
+    is done when it lies in one component: every pair of it has then been compared, excluded, or joined through others.
     """
-    single = signatures.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    banded = single.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    met = stage(banded.join(shared, "bucket").select("bucket", "node", "pivot"))
-    sets = stage(signatures.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")))
-    pairs = met.filter("node <> pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    single = signatures.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("row").alias("row"))
+    banded = single.select("node", "size", "row", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("pivot")).filter("n > 1")
+    met = stage(banded.join(shared, "bucket").select("bucket", "node", "size", "row", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
+    sets = stage(_sets(docs, met.select("node", "row").distinct()))
+    fitting = F.least("size", "pivot_size") >= F.greatest("size", "pivot_size") * F.lit(least) - F.lit(1e-6)
+    pairs = met.filter("node <> pivot").filter(fitting).groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     found = stage(_similar(pairs, sets, least))
-    labels = components(found)
-
-    def compared(pairs: DataFrame):
-        nonlocal found, labels
-        new = stage(_similar(pairs, sets, least))
-        found = found.unionByName(new)
-        if not new.isEmpty():
-            labels = components(found)
-
-    live = stage(_divided(met.select("bucket", "node"), labels))
-    pivots = live.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("component", "node").alias("of"))
-    compared(live.join(pivots, "bucket").filter("component <> of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    left = _divided(live.select("bucket", "node"), labels).join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-    live = stage(_may_link(stage(left.select("bucket", "node")), sets, least))
+    labels = stage(components(found))
+    open_nodes = _divided(met.select("bucket", "node"), labels).select("node").distinct()
+    live, parts = stage(_by_rare_shingles(open_nodes, sets, least)), 8
     while True:
-        live = stage(_divided(live.select("bucket", "node", "size", "shared"), labels))
+        live = stage(_divided(live.select("bucket", "node", "size", "shared", "bits"), labels))
         if live.isEmpty():
             return found, labels
         sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         others = live.join(largest, "bucket").filter("component <> largest")
-        row = F.struct("component", "size", "shared")
-        pivots = stage(others.groupBy("bucket", F.pmod("node", F.lit(8)).alias("part")).agg(F.min("node").alias("pivot"), F.min_by(row, "node").alias("of")))
+        row = F.struct("component", "size", "shared", "bits")
+        pivots = stage(others.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min("node").alias("pivot"), F.min_by(row, "node").alias("of")))
+        parts = min(4 * parts, MOST_PIVOTS)
         x, y = live.alias("x"), pivots.select(F.col("bucket").alias("in"), "pivot", "of")
-        needed = (F.col("x.size") + F.col("of.size")) * F.lit(least / (1 + least)) - F.lit(1e-6)
-        alike = (F.col("x.component") != F.col("of.component")) & (F.least("x.shared", "of.shared", "x.size", "of.size") >= needed)
-        near = x.join(y, (F.col("x.bucket") == F.col("in")) & alike)
-        compared(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        differ = (F.col("x.bucket") == F.col("in")) & (F.col("x.component") != F.col("of.component"))
+        near = x.join(y, differ & _can_link("x", "of", least)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        new = stage(_similar(near.distinct(), sets, least))
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            labels = stage(components(found))
         live = live.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     own = stage(signed(docs))
-    found, labels = links(own, least)
+    found, labels = links(docs, own, least)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = labels.join(degree, "node", "left")
     placed = own.select("doc_id", "tie", "node").join(nodes, "node", "left")
