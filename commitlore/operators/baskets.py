@@ -254,13 +254,26 @@ def cooccurrence_with_top(
 
 # --- co-change pairs -----------------------------------------------------------
 
+# Files whose pairs stand in one row; a longer basket is cut into blocks, and each two of them make a row.
+BLOCK_FILES = 256
+
 
 def _pairs_of(kinds: DataFrame, ordered: bool) -> DataFrame:
     """Pair counts of baskets: the earlier file first, or the smaller name first."""
-    tails = F.expr(
-        "flatten(transform(files, (a, i) -> transform(slice(files, i + 2, size(files)), b -> struct(a, b))))"
+    count = F.ceil(F.size("files") / BLOCK_FILES).cast("int")
+    blocks = (
+        kinds.filter(F.size("files") > 1).withColumn("blocks", count)
+        .select("n", "files", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
+        .select("n", "files", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
+        .select(
+            "n", F.expr(f"slice(files, i * {BLOCK_FILES} + 1, {BLOCK_FILES})").alias("heads"),
+            F.expr(f"slice(files, j * {BLOCK_FILES} + 1, {BLOCK_FILES})").alias("tails"), (F.col("i") == F.col("j")).alias("same"),
+        )
+    )
+    inside = F.expr(
+        f"flatten(transform(heads, (a, k) -> transform(if(same, slice(tails, k + 2, {BLOCK_FILES}), tails), b -> struct(a, b))))"
     )
-    pairs = kinds.select("n", F.explode(tails).alias("p")).select(
+    pairs = blocks.select("n", F.explode(inside).alias("p")).select(
         "n", F.col("p.a").alias("file_a"), F.col("p.b").alias("file_b")
     )
     if not ordered:
@@ -272,14 +285,15 @@ def _first_mentions(files: DataFrame) -> DataFrame:
     return files.groupBy("hash", "file").agg(F.min("pos").alias("pos"))
 
 
-def co_change_pairs(files: DataFrame, min_support: float = MIN_SUPPORT, ordered: bool = True) -> DataFrame:
-    """(file_a, file_b, commits) of the pairs changed together in enough commits.
+def co_change_pairs(files: DataFrame, min_support: float | None = None, ordered: bool = True) -> DataFrame:
+    """(file_a, file_b, commits) of all pairs changed together, or of those in enough commits.
 
-    `file_a` is named first in the commit. A pair cannot be more frequent than its
-    files, so commits are first cut down to files that reach the support alone. That
-    bounds a commit's list by the mean list length over `min_support`, and equal lists
-    are counted before their pairs are made.
+    `file_a` is named first in the commit. Equal lists are counted before their pairs are made. With `min_support`,
+    commits are first cut down to files that reach it alone, as a pair cannot be more frequent than its files; that
+    bounds a commit's list by the mean list length over `min_support`.
     """
+    if min_support is None:
+        return _pairs_of(_counted_baskets(_first_mentions(files), F.col("pos")), ordered)
     mentions = stage(_first_mentions(files))
     total = mentions.agg(F.count_distinct("hash")).scalar()
     needed = F.lit(min_support) * total

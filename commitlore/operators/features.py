@@ -22,7 +22,7 @@ from commitlore.session import reused, stage
 
 # Reach of the outlier fences, embedding settings, columns to standardise.
 FENCE_REACH = 1.5
-EMBEDDING = {"size": 50, "window": 5, "min_count": 1}
+EMBEDDING = {"size": 50, "window": 5, "min_count": 1, "passes": 5}
 STANDARDIZED_COLUMNS = [
     *SIZE_COLUMNS, *DMM_COLUMNS, "msg_length", "msg_word_count",
     "author_date_year", "author_date_month", "author_date_day", "author_date_hour",
@@ -201,7 +201,7 @@ def dmm_score(df: DataFrame, columns=DMM_COLUMNS) -> DataFrame:
 
 
 def message_embeddings(
-    df: DataFrame, column: str = "msg", seed: int = 42, partitions: int | None = None,
+    df: DataFrame, column: str = "msg", seed: int = 42, partitions: int = 8,
     max_vocabulary: int = 1 << 18,
 ) -> DataFrame:
     """Adds `embedding`, the mean of the word vectors of a message; zeros without words.
@@ -222,8 +222,7 @@ def message_embeddings(
             sentences = tokens.select("_tokens")
         model = Word2Vec(
             vectorSize=EMBEDDING["size"], windowSize=EMBEDDING["window"], minCount=EMBEDDING["min_count"],
-            numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
-            maxIter=1, seed=seed, inputCol="_tokens", outputCol="embedding",
+            numPartitions=partitions, maxIter=EMBEDDING["passes"], seed=seed, inputCol="_tokens", outputCol="embedding",
         ).fit(sentences)
     return model.transform(tokens).drop("_tokens")
 

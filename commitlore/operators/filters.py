@@ -1,7 +1,5 @@
 """Commit filters and schema-level column selection."""
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from commitlore.functions.dates import config_date
@@ -14,6 +12,9 @@ ID_PATTERNS = ["id", "index", "hash"]
 MAX_CORRELATION = 0.95
 MIN_ROWS = 10
 
+# Column pairs of one aggregation.
+PAIRS_AT_ONCE = 200
+
 
 def drop_empty_dmm(commits: DataFrame) -> DataFrame:
     return commits.filter(F.col("dmm_unit_size").isNotNull())
@@ -105,23 +106,17 @@ def constant_columns(df: DataFrame, columns) -> list[str]:
 
 
 def correlations(df: DataFrame, columns) -> dict:
-    """Pearson correlation of each column pair (later, earlier) from one pass."""
+    """Pearson correlation of each column pair (later, earlier), over the rows where both are known.
+
+    Every PAIRS_AT_ONCE pairs are one aggregation, which reads the columns of these pairs only.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
-    if not pairs:
-        return {}
-    if len(pairs) > 200:
-        return _wide_correlations(df, columns)
-    row = df.agg(*[F.corr(known(a), known(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
-    return {pair: row[f"r{k}"] for k, pair in enumerate(pairs)}
-
-
-def _wide_correlations(df, columns):
-    """The same for many columns, by way of their Gram matrix; missing values must be filled."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(*columns)).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return {
-        (a, b): float(matrix[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns[:i])
-    }
+    found = {}
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[start : start + PAIRS_AT_ONCE]
+        row = df.agg(*[F.corr(known(a), known(b)).alias(f"r{k}") for k, (a, b) in enumerate(part)]).first()
+        found.update({pair: row[f"r{k}"] for k, pair in enumerate(part)})
+    return found
 
 
 def correlated_columns(df: DataFrame, columns, limit: float = MAX_CORRELATION) -> list[str]:

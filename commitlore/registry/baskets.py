@@ -145,14 +145,14 @@ def cooccurrence_with_top(spark, sf_dir):
 # --- pairs ---------------------------------------------------------------------
 
 
-@query("co_change_pairs", f"""WITH {_PAIRS} SELECT * FROM pairs WHERE commits >= 0.001 * (SELECT count(DISTINCT hash) FROM firsts)""")
+@query("co_change_pairs", f"""WITH {_PAIRS} SELECT * FROM pairs""")
 def co_change_pairs(spark, sf_dir):
-    return baskets.co_change_pairs(_files(spark, sf_dir), min_support=0.001)
+    return baskets.co_change_pairs(_files(spark, sf_dir))
 
 
 @query("co_change_pairs_unordered", f"""WITH {_PAIRS}
 SELECT least(file_a, file_b) AS file_a, greatest(file_a, file_b) AS file_b, cast(sum(commits) AS bigint) AS commits
-FROM pairs GROUP BY 1, 2 HAVING sum(commits) >= 0.01 * (SELECT count(DISTINCT hash) FROM firsts)""")
+FROM pairs GROUP BY 1, 2""")
 def co_change_pairs_unordered(spark, sf_dir):
     return baskets.co_change_pairs(_files(spark, sf_dir), ordered=False)
 
@@ -261,25 +261,24 @@ def association_network_nodes(spark, sf_dir):
     return network.association_network(_rules(spark, sf_dir))["nodes"]
 
 
-@query("node_degrees", f"""WITH {_PAIRS}, edges AS (SELECT file_a AS src, file_b AS dst FROM pairs WHERE commits >= 0.001 * (SELECT count(DISTINCT hash) FROM firsts))
+@query("node_degrees", f"""WITH {_PAIRS}, edges AS (SELECT file_a AS src, file_b AS dst FROM pairs)
 SELECT node, cast(sum(i) AS bigint) AS in_degree, cast(sum(o) AS bigint) AS out_degree, cast(sum(i) + sum(o) AS bigint) AS degree
 FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY 1""")
 def node_degrees(spark, sf_dir):
-    pairs = baskets.co_change_pairs(_files(spark, sf_dir), min_support=0.001)
+    pairs = baskets.co_change_pairs(_files(spark, sf_dir))
     return network.node_degrees(pairs.withColumnsRenamed({"file_a": "src", "file_b": "dst"}))
 
 
 @query("edge_nodes", f"""WITH {_PAIRS} SELECT DISTINCT node FROM (
-  SELECT unnest([file_a, file_b]) AS node FROM pairs WHERE commits >= 0.001 * (SELECT count(DISTINCT hash) FROM firsts))""")
+  SELECT unnest([file_a, file_b]) AS node FROM pairs)""")
 def edge_nodes(spark, sf_dir):
-    pairs = baskets.co_change_pairs(_files(spark, sf_dir), min_support=0.001)
+    pairs = baskets.co_change_pairs(_files(spark, sf_dir))
     return network.edge_nodes(pairs.withColumnsRenamed({"file_a": "src", "file_b": "dst"}))
 
 
 @query("graph_modularity", f"""WITH {_PAIRS},
 e AS (SELECT a, b, cast(sum(commits) AS double) AS w FROM (
-        SELECT regexp_extract(file_a, '(\\.[a-z]+)$', 1) AS a, regexp_extract(file_b, '(\\.[a-z]+)$', 1) AS b, commits FROM pairs
-        WHERE commits >= 0.001 * (SELECT count(DISTINCT hash) FROM firsts)) GROUP BY 1, 2),
+        SELECT regexp_extract(file_a, '(\\.[a-z]+)$', 1) AS a, regexp_extract(file_b, '(\\.[a-z]+)$', 1) AS b, commits FROM pairs) GROUP BY 1, 2),
 m AS (SELECT sum(w) AS m FROM e),
 c AS (SELECT label, sum(i) AS i, sum(d) AS d FROM (
         SELECT a AS label, CASE WHEN a = b THEN w ELSE 0 END AS i, w AS d FROM e UNION ALL SELECT b, 0, w FROM e) GROUP BY 1)
@@ -287,7 +286,7 @@ SELECT round(sum(i / m - (d / (2 * m)) ^ 2), 6) AS modularity FROM c, m""")
 def graph_modularity(spark, sf_dir):
     from commitlore.functions.text import file_extension
 
-    pairs = baskets.co_change_pairs(_files(spark, sf_dir), min_support=0.001)
+    pairs = baskets.co_change_pairs(_files(spark, sf_dir))
     edges = pairs.select(F.col("file_a").alias("src"), F.col("file_b").alias("dst"), F.col("commits").cast("double").alias("weight"))
     labels = network.edge_nodes(edges).select("node", file_extension("node").alias("label"))
     return rounded(network.graph_modularity(edges, labels), "modularity")

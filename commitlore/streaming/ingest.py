@@ -27,7 +27,9 @@ def new_commits(incoming: DataFrame, existing: DataFrame | None, small: int = SM
 def _table_or_none(spark, path, schema):
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

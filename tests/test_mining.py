@@ -46,10 +46,18 @@ def test_pairs(spark, ordered, hot):
     files = files_of(spark, commits)
     got = {(r["file_a"], r["file_b"]): r["commits"] for r in baskets.co_change_pairs(files, 0.03, ordered).collect()}
     assert got == {p: n for p, n in expected.items() if n >= 0.03 * len(commits)}
+    got = {(r["file_a"], r["file_b"]): r["commits"] for r in baskets.co_change_pairs(files, ordered=ordered).collect()}
+    assert got == expected
     top = [(r["file_a"], r["file_b"], r["commits"]) for r in baskets.top_pairs(files, 12, ordered, seeds=4).collect()]
     assert top == [(*p, n) for p, n in sorted(expected.items(), key=lambda x: (-x[1], x[0]))[:12]]
 
 
+def test_pairs_of_a_commit_of_several_blocks(spark):
+    names = [f"f{i}.py" for i in range(2 * baskets.BLOCK_FILES + 3)]
+    got = {(r["file_a"], r["file_b"]): r["commits"] for r in baskets.co_change_pairs(files_of(spark, [names, names[:2], names[:1]])).collect()}
+    assert got == pair_counts([names, names[:2], names[:1]])
+
+
 def test_fewer_pairs_than_asked_for(spark):
     files = files_of(spark, [["a", "b"], ["a", "b"], ["c"]])
     assert [tuple(r) for r in baskets.top_pairs(files).collect()] == [("a", "b", 2)]
