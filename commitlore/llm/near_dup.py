@@ -23,8 +23,8 @@ BANDS, ROWS = 36, 7
 MOST_CHARS = 4_000_000
 #: Bits of a shingle's hash inside a text.
 BITS = 40
-#: Words of 64 bits that mark the shingles of a text; pivots of a bucket in one round, which are 8 in the first.
-BIT_WORDS, MOST_PIVOTS = 8, 512
+#: Words of 64 bits that mark the shingles of a text; pivots of a bucket in the first round, and in any round.
+BIT_WORDS, LEAST_PIVOTS, MOST_PIVOTS = 8, 8, 2048
 
 
 def shingles(raw: list[bytes], size: int = SHINGLE):
@@ -266,7 +266,7 @@ def links(docs: DataFrame, signatures: DataFrame, least: float = SIMILARITY) ->
     found = stage(_similar(pairs, sets, least))
     labels = stage(components(found))
     open_nodes = _divided(met.select("bucket", "node"), labels).select("node").distinct()
-    live, parts = stage(_by_rare_shingles(open_nodes, sets, least)), 8
+    live, parts = stage(_by_rare_shingles(open_nodes, sets, least)), LEAST_PIVOTS
     while True:
         live = stage(_divided(live.select("bucket", "node", "size", "shared", "bits"), labels))
         if live.isEmpty():
@@ -276,7 +276,7 @@ def links(docs: DataFrame, signatures: DataFrame, least: float = SIMILARITY) ->
         others = live.join(largest, "bucket").filter("component <> largest")
         row = F.struct("component", "size", "shared", "bits")
         pivots = stage(others.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min("node").alias("pivot"), F.min_by(row, "node").alias("of")))
-        parts = min(4 * parts, MOST_PIVOTS)
+        parts = min(16 * parts, MOST_PIVOTS)
         x, y = live.alias("x"), pivots.select(F.col("bucket").alias("in"), "pivot", "of")
         differ = (F.col("x.bucket") == F.col("in")) & (F.col("x.component") != F.col("of.component"))
         near = x.join(y, differ & _can_link("x", "of", least)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
