@@ -417,6 +417,48 @@ def test_passages_found_where_planted(spark):
         assert len(a) == len(b) == 60 and sum(p == q for p, q in zip(a, b, strict=True)) == r.n_equal
 
 
+def test_two_passages_of_one_pair_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    p, q, lone = ([f"{name}{i}" for i in range(n)] for name, n in (("p", 60), ("q", 60), ("z", 6)))
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**9, n)]
+    pairs = [(p + fill(n) + q, p + fill(m) + q) for n, m in ((50, 0), (50, 50), (100, 100), (200, 200), (20, 20), (0, 300))]
+    pairs += [(p[:50] + fill(n) + lone, p[:50] + fill(n) + lone) for n in (5, 20, 55)] + [(lone + fill(30) + p, lone + fill(200) + p)]
+    noisy = [w if rng.random() > 0.1 else "x" for w in p + q]
+    pairs.append((fill(40) + p + fill(35) + q, fill(10) + noisy[:60] + fill(35) + noisy[60:]))
+    texts = [[f"t{k}"] + t for k, pair in enumerate(pairs) for t in pair]
+    # words differ from pair to pair
+    texts = [[f"{w}v{k // 2}" for w in t] for k, t in enumerate(texts)]
+    found = passages.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.other_doc_id // 2 for r in found)
+    for k in range(0, len(texts), 2):
+        a, b = texts[k], texts[k + 1]
+        same = [(i, b.index(w)) for i, w in enumerate(a) if w in b and not w.startswith("xv")]
+        assert same == sorted(same, key=lambda s: s[1])
+        wanted = set()
+        for u, v in itertools.combinations(range(len(same)), 2):
+            sides = [same[v][c] - same[u][c] + 1 for c in (0, 1)]
+            if min(sides) >= 50 and v - u + 1 >= 0.8 * max(sides):
+                wanted |= {same[w][0] for w in range(u, v + 1)}
+        got = [r for r in found if r.doc_id == k]
+        assert wanted == {i for r in got for i, _ in same if r.start <= i < r.end}, k
+        assert all(min(r.end - r.start, r.other_end - r.other_start) >= 50 for r in got)
+        for r in got:
+            assert r.n_equal == sum(r.start <= i < r.end and r.other_start <= j < r.other_end for i, j in same)
+            assert r.n_equal >= 0.8 * max(r.end - r.start, r.other_end - r.other_start)
+
+
+def test_long_gaps_are_aligned_from_both_ends():
+    rng = np.random.default_rng(10)
+    a = [str(w) for w in rng.integers(0, 10**9, 400)]
+    b = [w if k % 6 else "x" for k, w in enumerate(a)]
+    b[200:200] = [f"n{k}" for k in range(150)]
+    runs = passages.align(["s"] * 6 + a + ["e"] * 6, ["s"] * 6 + b + ["e"] * 6, [0, 406], [0, 556])
+    # 333 words agree besides the anchors, before and behind the 150 words that only b has; some next to these may stay out
+    assert 333 + 12 - 8 <= runs[:, 2].sum() <= 333 + 12
+    (s, e, *_), (t, f, *_) = passages.passages_of(runs)
+    assert s == 0 and 200 <= e <= 206 <= t <= 212 and f == 412
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     found = passages.repeated_passages(odd_docs).collect()
     assert {(r.doc_id, r.other_doc_id) for r in found} == {(5, 6), (6, 5)} and all(r.end - r.start == 3000 for r in found)
