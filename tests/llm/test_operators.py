@@ -447,6 +447,31 @@ def test_two_passages_of_one_pair_equal_brute_force(spark):
             assert r.n_equal >= 0.8 * max(r.end - r.start, r.other_end - r.other_start)
 
 
+def test_passages_of_frequent_parts_are_linked(spark):
+    rng = np.random.default_rng(11)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**9, n)]
+    lines = [[f"l{k}w{i}" for i in range(20)] for k in range(4)]
+    # every two lines that follow each other stand in many texts, less than a passage each; all four in three texts
+    rows = [(i, fill(40) + lines[i % 3] + lines[i % 3 + 1] + fill(40)) for i in range(240)]
+    rows += [(i, fill(30) + sum(lines, []) + fill(30)) for i in (300, 301, 302)]
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {300, 301, 302}
+    assert {(r.start, r.end, r.other_start, r.other_end, r.n_equal) for r in found} == {(30, 110, 30, 110, 80)}
+
+
+def test_windows_of_frequent_seeds():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        text = [b" ".join(b"%d" % w for w in rng.integers(0, 10**6, 150))]
+        _, _, places = passages.seeds(text)
+        more = rng.random(len(places)) < 0.9
+        begins, ends = passages._frequent_spans(places, more.astype(int))
+        got = {s for b, e in zip(begins, ends, strict=True) for s in range(b, e)}
+        for s in range(101):
+            inside = (places - 11 >= s) & (places + 17 <= s + 50)
+            assert (s in got) == bool(more[inside].all())
+
+
 def test_long_gaps_are_aligned_from_both_ends():
     rng = np.random.default_rng(10)
     a = [str(w) for w in rng.integers(0, 10**9, 400)]
