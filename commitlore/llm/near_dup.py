@@ -1,4 +1,4 @@
-"""Near-duplicate texts: DartMinHash signatures of weighted five-word shingles, banded, then exact similarities.
+"""Near-duplicate texts: DartMinHash signatures of five-word shingles, banded, then exact similarities.
 
 Each shingle owns a strip as wide as its weight. Darts fall on strips as a Poisson process in hashed order, the same for
 every text that has the shingle; a text keeps, for each of its coordinates, the earliest dart inside its strips. Texts
@@ -142,9 +142,10 @@ def signed(docs: DataFrame) -> DataFrame:
         import pandas as pd
 
         for frame in buffered(frames, MOST_CHARS):
-            element, count, owner, keys = shingles(encoded(frame["text"]))
+            element, _, owner, keys = shingles(encoded(frame["text"]))
             n = len(frame)
-            bands = band_keys(dart_signatures(element, 1 + np.log(count), owner, n)).astype(np.int64)
+            # each distinct shingle once, as links count them: repeats inside a text must not part it from a like one
+            bands = band_keys(dart_signatures(element, np.ones(len(element)), owner, n)).astype(np.int64)
             sizes = np.bincount(owner, minlength=n)
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"], "row": frame["row"], "node": keys.astype(np.int64),

@@ -323,6 +323,17 @@ def test_groups_of_near_copies_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == plain_classes(docs.collect())
 
 
+def test_texts_with_repeated_blocks_are_classed(spark):
+    texts = []
+    for k in range(40):
+        block = [f"b{k}w{i}" for i in range(60)]
+        texts += [" ".join(block), " ".join(block * 2), " ".join(block * 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    plain = plain_classes(docs.collect())
+    assert got == plain and set(plain.values()) == set(range(0, 120, 3))
+
+
 def test_dart_agreement_is_weighted_jaccard():
     rng = np.random.default_rng(6)
     a, b = rng.uniform(0, 3, 300), rng.uniform(0, 3, 300)
