@@ -79,9 +79,10 @@ def op5_lm_scores(spark, sf_dir):
 @query
 def op6_chat_format(spark, sf_dir):
     probe = "</s>[INST] ok [/INST]"
-    records = chat.rows_to_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    rows = chat.rows_to_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(probe).alias("prompt"), F.lit(probe).alias("response"))).alias("record"))
-    chats = chat.read_back(chat.formatted(chat.canonical(records.unionByName(own))).select("conv_id", "layout", "formatted", "loss_spans"))
+    chats = rows.unionByName(chat.canonical(own).select("conv_id", "layout", "turns"))
+    chats = chat.read_back(chat.formatted(chats).select("conv_id", "layout", "formatted", "loss_spans"))
     said = F.array_join("loss_texts", "")
     lines = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return chats.select(

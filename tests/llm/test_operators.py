@@ -239,6 +239,23 @@ def test_formatted_texts_read_back(spark):
         assert list(r.loss_texts) == [x[2] for x in mine if x[1] == "assistant"]
 
 
+def test_long_turns_are_not_lost(spark):
+    long = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", None)], "conv_id long, turn long, role string, text string")
+    long = long.withColumn("text", F.coalesce("text", F.repeat(F.lit("ab"), chat.PARSED_CHARS // 2 + 1)))
+    (row,) = chat.formatted(chat.rows_to_chats(long)).select("layout", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]))).alias("turns"), "loss_spans").collect()
+    assert row.layout == "messages" and [tuple(t) for t in row.turns] == [("user", 1), ("assistant", chat.PARSED_CHARS + 2)]
+    assert [s.length for s in row.loss_spans] == [chat.PARSED_CHARS + 2]
+    with pytest.raises(Exception, match="too long for the JSON parser"):
+        chat.canonical(chat.rows_to_records(long)).select(F.size("turns")).collect()
+
+
+def test_rows_become_the_turns_of_their_records(spark):
+    rows = [(1, 2, "gpt", "a"), (1, 1, "human", None), (1, None, None, "x\\"), (None, 1, "assistant", "y"), (2, 1, "user", "")]
+    rows = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got, want = ({r.conv_id: (r.layout, r.turns) for r in t.collect()} for t in (chat.rows_to_chats(rows), chat.canonical(chat.rows_to_records(rows))))
+    assert got == want
+
+
 # --- fingerprints
 
 
