@@ -500,6 +500,22 @@ def test_windows_of_frequent_seeds():
             assert (s in got) == bool(more[inside].all())
 
 
+def test_seeds_of_many_words_and_slices(monkeypatch):
+    rng = np.random.default_rng(13)
+    n = (1 << 24) + 1000
+    letters = np.full(2 * n, ord(" "), np.uint8)
+    letters[::2] = rng.integers(ord("a"), ord("z") + 1, n)
+    hashes, owners, places = passages.seeds([letters.tobytes()])
+    assert places.max() >= n - 17 and not owners.any() and (np.diff(places) <= 12).all()
+    tail, _, at = passages.seeds([letters[2 * (n - 5000) :].tobytes()])
+    assert (tail == hashes[-len(tail) :]).all() and (at + n - 5000 == places[-len(at) :]).all()
+    raw = [" ".join(map(str, rng.integers(0, 50, size))).encode() for size in rng.integers(0, 300, 60)]
+    whole = passages.seeds(raw)
+    monkeypatch.setattr(passages, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(passages, "SLICE_WORDS", 37)
+    assert all((a == b).all() for a, b in zip(whole, passages.seeds(raw), strict=True))
+
+
 def test_long_gaps_are_aligned_from_both_ends():
     rng = np.random.default_rng(10)
     a = [str(w) for w in rng.integers(0, 10**9, 400)]
