@@ -107,6 +107,8 @@ SAMPLE_CHARS = 12_000_000
 def sampled_texts(docs: DataFrame, label: str, max_rows: int, labels: DataFrame | None = None, most_chars: int = SAMPLE_CHARS) -> list:
     """(text, label) of at most `max_rows` different texts and `most_chars` characters, those of the smallest hash of text.
 
+    A text of more than a twentieth of the characters comes after all others, and only if it still fits; if none
+    fits, the beginning of the shortest is the sample. So no long text keeps others out.
     The label is a column of `docs`, or of `labels` by doc_id. Hashes alone are sorted; the chosen rows then come by a join
     with their list, which is bounded. Of rows with one text the smallest doc_id speaks; null doc_ids and texts do not.
     """
@@ -115,10 +117,14 @@ def sampled_texts(docs: DataFrame, label: str, max_rows: int, labels: DataFrame
     narrow = narrow if labels is None else narrow.join(labels.select("doc_id", label), "doc_id")
     first = F.min(F.struct("doc_id", label, "_n")).alias("row")
     rows = narrow.filter(F.col(label).isNotNull()).groupBy("_h").agg(first).orderBy("_h").limit(max_rows).select("_h", "row.*").collect()
-    chars = np.cumsum([r["_n"] for r in rows])
-    rows = [r for r, n in zip(rows, chars, strict=True) if n <= most_chars]
     if not rows:
         return []
+    chosen, left = set(), most_chars
+    for k, r in sorted(enumerate(rows), key=lambda x: (20 * x[1]["_n"] > most_chars, x[0])):
+        if r["_n"] <= left:
+            chosen.add(k)
+            left -= r["_n"]
+    rows = [r for k, r in enumerate(rows) if k in chosen] or [min(rows, key=lambda r: r["_n"])]
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["_h"]) for r in rows], "doc_id long, _h long"))
-    found = {r["_h"]: r["text"] for r in keyed.join(wanted, ["doc_id", "_h"]).dropDuplicates(["_h"]).select("_h", "text").collect()}
+    found = {r["_h"]: r["text"] for r in keyed.join(wanted, ["doc_id", "_h"]).dropDuplicates(["_h"]).select("_h", F.substring("text", 1, most_chars).alias("text")).collect()}
     return [(found[r["_h"]], r[label]) for r in rows]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlore.llm import chat, contamination, fingerprint, graph, langid, lm, mixing, near_dup, packing, passages, toxicity
-from commitlore.llm.common import encoded, fold, plain_words, table
+from commitlore.llm.common import encoded, fold, plain_words, sampled_texts, table
 
 
 def words(text):
@@ -77,6 +77,14 @@ def test_language_on_held_out_texts(spark, sf_dir):
     assert states.shape[0] == langid.SEGMENT
 
 
+def test_samples_pass_over_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 3 else f"{i} " + "x" * 2000, "en") for i in range(30)], "doc_id long, text string, lang string")
+    got = [t for t, _ in sampled_texts(docs, "lang", 30, most_chars=1000)]
+    assert sorted(got) == sorted(f"text {i}" for i in range(30) if i % 3)
+    assert [len(t) for t, _ in sampled_texts(docs.filter("doc_id % 3 = 0"), "lang", 30, most_chars=1000)] == [1000]
+    assert len(sampled_texts(docs, "lang", 30)) == 30
+
+
 def test_language_of_odd_rows(odd_docs, no_docs):
     model = langid.fit(["the cat and the dog", "der hund und die katze"], ["en", "de"], epochs=1, least_steps=1)
     got = {r.doc_id: r for r in langid.languages(odd_docs, model).collect()}
