@@ -25,13 +25,13 @@ def item_windows(words: list[bytes], window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def _automaton(items: list[tuple[str, str]], window: int):
+def _automaton(items: list[tuple[str | None, str]], window: int):
     import ahocorasick
 
     by_window: dict[bytes, set] = {}
     for item, text in items:
         for w in item_windows(plain_words(text.encode("utf-8", "surrogatepass")), window):
-            by_window.setdefault(w, set()).add(item)
+            by_window.setdefault(w, set()).update([] if item is None else [item])
     machine = ahocorasick.Automaton()
     for w, found in by_window.items():
         machine.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, sorted(found)))
@@ -55,10 +55,10 @@ def scan(words: list[bytes], machine) -> tuple[np.ndarray, set]:
     return hit, items
 
 
-def _blocks(benchmark: DataFrame, most_chars: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, most_chars: int) -> list[list[tuple[str | None, str]]]:
     """The items in blocks of at most `most_chars` characters, or one longer item: one block unless the benchmark is large."""
     blocks, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text is not null").toLocalIterator():
         if blocks[-1] and size + len(r["text"]) > most_chars:
             blocks.append([])
             size = 0
@@ -71,7 +71,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """`docs` with n_words, hit_words (places of hit words), items (sorted as strings), hit_spans (start, end in bytes of the text).
 
     Both tables' words: letters, digits and characters beyond ASCII, A-Z in lower case. Null texts have no words and no hits; items
-    without id, text or words have no window; several items may share a window or an id. An empty benchmark hits nothing. A benchmark beyond
+    without text or words have no window, and windows of items without id hit words but name no item; several items may share a window or an id. An empty benchmark hits nothing. A benchmark beyond
     `most_chars` is held in blocks, one automaton after another passing over each batch, so a worker holds one at a time.
     Columns of these four names are replaced, others stay.
     """
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             out["n_words"] = [len(w) for w in words]
             out["hit_words"] = [np.flatnonzero(hit).astype("int32") for hit, _ in hits]
             out["items"] = [sorted(items) for _, items in hits]
-            out["hit_spans"] = [_spans(t, hit) if items else [] for t, (hit, items) in zip(frame["text"], hits, strict=True)]
+            out["hit_spans"] = [_spans(t, hit) if hit.any() else [] for t, (hit, _) in zip(frame["text"], hits, strict=True)]
             yield out
 
     return small_batches(kept).mapInPandas(find, extended(kept, **added))

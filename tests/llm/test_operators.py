@@ -409,6 +409,15 @@ def test_hits_equal_brute_force(spark, odd_docs, no_docs):
     assert contamination.contamination(no_docs, bench).count() == 0
 
 
+def test_items_without_id_hit_words(spark):
+    passage = " ".join(f"b{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"a {passage} z"), (2, "clean words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage)], "item_id string, text string")
+    found = {r.doc_id: r for r in contamination.contamination(docs, items).collect()}
+    assert found[1].hit_words == list(range(1, 16)) and found[1].items == [] and len(found[1].hit_spans) == 1 and found[2].hit_words == []
+    assert [r.doc_id for r in contamination.decontaminated(docs, items).collect()] == [2]
+
+
 # --- passages
 
 
