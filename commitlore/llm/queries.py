@@ -1,8 +1,9 @@
 """The queries of the text operators, each over its whole table, with SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from commitlore.llm import chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, toxicity
+from commitlore.llm import bpe, chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, toxicity
 from commitlore.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -165,3 +166,13 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op13_byte_pairs(spark, sf_dir):
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
