@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text in one block, a block holds whole texts: one text alone may be longer.
-BLOCK_CHARS = 16_000_000
-#: Texts decoded at a time hold about this many ids.
-DECODED_IDS = 4_000_000
+BLOCK_CHARS = 32_000_000
+#: Pre-tokens laid out, and ids decoded, at a time; a text is not divided.
+PIECES_AT_ONCE = DECODED_IDS = 500_000
+#: A word's place in its block takes so many bits of a long, and a block's number the others.
+_PLACE_BITS = 28
+_MOST_WORDS, _MOST_BLOCKS = (1 << _PLACE_BITS) - 1, (1 << 12) - 1
 #: The classes that a splitting pattern names; two regular expression libraries need not know the same Unicode version.
 _CLASSES = (r"\p{L}", r"\p{N}", r"\s")
 
@@ -106,83 +109,118 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _split(batches, pattern: str, most_chars: int):
-    """Blocks of whole texts: (block, doc_ids, pre-tokens of each text, words in order of appearance, place of each pre-token's word)."""
+    """Blocks of whole texts: (number, check, doc_ids, pre-tokens of each text, words in order of appearance, each pre-token's word).
+
+    No pre-token reaches over a space but at its start, unless white space stands on both sides of it or a space ends the text
+    after white space. So texts are cut at spaces, and the pattern runs once over each distinct cutting of a block;
+    texts with such runs of white space go through the pattern whole. Cuttings are keyed by the text after their space,
+    those without a space before them as a tuple.
+    """
     import pyarrow as pa
     import regex
     import xxhash
     from pyspark import TaskContext
 
-    find, task, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-
-    def fresh():
-        return [], [], defaultdict(itertools.count().__next__), [], xxhash.xxh64(), 0
-
-    ids, counts, places, codes, digest, size = fresh()
+    find, run = regex.compile(pattern).findall, regex.compile(r"(?<=\s) (?=\s|\Z)").search
+    task, made = TaskContext.get().partitionId(), 0
 
     def block():
-        digest.update(f"{task} {made}".encode())
-        key = digest.intdigest() - (1 << 63)
-        return key, pa.chunked_array(ids).combine_chunks(), counts, list(places), np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-
+        places: dict[str, int] = defaultdict(itertools.count().__next__)
+        parts = [[places[p] for p in find(c[0] if isinstance(c, tuple) else " " + c)] for c in cuttings]
+        each = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(each.sum()))
+        starts = np.cumsum(each) - each
+        counts, pieces = [], []
+        for c in codes:
+            n = each[c]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(c) else 0
+            pieces.append(flat[np.repeat(starts[c] - (ends - n), n) + np.arange(total)])
+            counts.append(total)
+        words, positions = list(places), np.concatenate(pieces)
+        check = xxhash.xxh64(positions.tobytes())
+        check.update("\n".join(words).encode())
+        if made > _MOST_BLOCKS or len(words) > _MOST_WORDS:
+            raise ValueError("too many blocks in a task, or words in a block")
+        return task * (_MOST_BLOCKS + 1) + made, check.intdigest() & _MOST_WORDS, pa.chunked_array(ids).combine_chunks(), counts, words, positions
+
+    ids, codes, cuttings, size = [], [], defaultdict(itertools.count().__next__), 0
     for batch in batches:
-        for row, raw in enumerate(batch.column("text").cast(pa.binary())):
-            raw = raw.as_py() or b""
-            digest.update(len(raw).to_bytes(8, "little"))
-            digest.update(raw)
-            pieces = find(raw.decode("utf-8", "replace"))
-            codes.append(np.fromiter(map(places.__getitem__, pieces), np.uint32, len(pieces)))
-            ids.append(batch.column("doc_id").slice(row, 1))
-            counts.append(len(pieces))
-            size += len(raw)
+        done = 0
+        for row, text in enumerate(_texts(batch.column("text"))):
+            first, *rest = text.split(" ")
+            keys = [(first,), *rest] if not run(text) else [(p,) for p in find(text)]
+            codes.append(np.fromiter(map(cuttings.__getitem__, keys), np.uint32, len(keys)))
+            size += len(text)
             if size >= most_chars:
+                ids.append(batch.column("doc_id").slice(done, row + 1 - done))
                 yield block()
-                ids, counts, places, codes, digest, size = fresh()
-                made += 1
-    if ids:
+                ids, codes, cuttings, size = [], [], defaultdict(itertools.count().__next__), 0
+                done, made = row + 1, made + 1
+        if done < len(batch):
+            ids.append(batch.column("doc_id").slice(done))
+    if codes:
         yield block()
 
 
+def _texts(column) -> list[str]:
+    """The texts of an Arrow column; a null is empty, bytes that are no UTF-8 are replaced."""
+    import pyarrow as pa
+
+    try:
+        return [t or "" for t in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def block_words(docs: DataFrame, pattern: str, most_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, place, word): every distinct pre-token of a block, once, and its place among the block's words."""
+    """(at, word): every distinct pre-token of a block, once. `at` is the block's number and the word's place in the block.
+
+    One more row a block, whose word is null, has the block's check in place of a place.
+    """
 
     def rows(batches):
         import pyarrow as pa
 
-        for key, _, _, words, _ in _split(batches, pattern, most_chars):
-            for i in range(0, len(words), 100_000):
-                part = [w.encode() for w in words[i : i + 100_000]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), key)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.binary())],
-                    names=["block", "place", "word"])
+        for number, check, _, _, words, _ in _split(batches, pattern, most_chars):
+            base = number << _PLACE_BITS
+            yield pa.RecordBatch.from_arrays([pa.array([base | check]), pa.array([None], pa.binary())], names=["at", "word"])
+            for i in range(0, len(words), 50_000):
+                part = [w.encode() for w in words[i : i + 50_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(base + i, base + i + len(part))), pa.array(part, pa.binary())], names=["at", "word"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "block long, place int, word binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "at long, word binary")
 
 
 def block_positions(docs: DataFrame, pattern: str, most_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row a block: its doc_ids, the number of pre-tokens of each text, the number of words, and each pre-token's word, packed."""
+    """One row a block: its number and check, its doc_ids, the number of pre-tokens of each text, the number of words, and positions.
+
+    Positions are each pre-token's place among the block's words, one byte of all places after the other, compressed.
+    """
     doc_id = docs.schema["doc_id"].dataType
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(doc_id)), T.StructField("counts", T.ArrayType(T.IntegerType())),
-        T.StructField("n_words", T.IntegerType()), T.StructField("positions", T.BinaryType()),
+        T.StructField("block", T.LongType()), T.StructField("check", T.LongType()), T.StructField("doc_ids", T.ArrayType(doc_id)),
+        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.IntegerType()), T.StructField("positions", T.ArrayType(T.BinaryType())),
     ])
 
     def rows(batches):
         import pyarrow as pa
 
-        for key, ids, counts, words, codes in _split(batches, pattern, most_chars):
-            packed = pa.compress(codes.astype("<u4").tobytes(), codec="zstd", asbytes=True) if len(codes) else b""
+        for number, check, ids, counts, words, positions in _split(batches, pattern, most_chars):
+            planes = np.ascontiguousarray(positions.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            packed = [pa.compress(plane.tobytes(), codec="zstd", asbytes=True) for plane in planes] if len(positions) else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts], pa.list_(pa.int32())),
-                 pa.array([len(words)], pa.int32()), pa.array([packed], pa.binary())],
+                [pa.array([number]), pa.array([check]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                 pa.array([counts], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([packed], pa.list_(pa.binary()))],
                 names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
 def word_ids(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, place, ids) of (block, place, word): words meet in one global shuffle, and each distinct one is encoded once.
+    """(block, ids) of (at, word): words meet in one global shuffle, and each distinct one is encoded once.
 
-    Ids are packed as 2 bytes each where the vocabulary allows it, else as 4.
+    `ids` is the word's place in 4 bytes, then its ids, of 2 bytes each where the vocabulary allows it, else of 4.
     """
     ranks = load_ranks(vocabulary)
     kind = id_kind(len(ranks))
@@ -194,13 +232,15 @@ def word_ids(words: DataFrame, vocabulary: str) -> DataFrame:
         table, last, ids = shared.value, None, b""
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():
+            at = batch.column("at").to_numpy()
+            places = (at & _MOST_WORDS).astype("<u4").tobytes()
+            for i, word in enumerate(batch.column("word").to_pylist()):
                 if word != last:
-                    last, ids = word, np.array(merged(word, table), kind).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(out, pa.binary())], names=["block", "place", "ids"])
+                    last, ids = word, b"" if word is None else np.array(merged(word, table), kind).tobytes()
+                out.append(places[4 * i : 4 * i + 4] + ids)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> _PLACE_BITS), pa.array(out, pa.binary())], names=["block", "ids"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, place int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, ids binary")
 
 
 def id_kind(tokens: int) -> np.dtype:
@@ -225,26 +265,33 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, most_chars: int = BLO
     def laid_out(block, words):
         import pyarrow as pa
 
-        if len(block) != 1 or block.column("n_words")[0].as_py() != len(words):
+        rows = sorted(words.column("ids").to_pylist(), key=len)  # the check is among those without ids, and no word is
+        if len(block) != 1 or len(rows) != block.column("n_words")[0].as_py() + 1 or rows[0] != block.column("check")[0].as_py().to_bytes(4, "little"):
             raise ValueError("the documents were read twice and differ: write them to a table first")
-        places = words.column("place").to_numpy()
-        raw = words.column("ids").combine_chunks()
-        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        raw = raw.take(pa.array(np.argsort(places)))
-        lengths = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // kind.itemsize if len(raw) else np.zeros(0, np.int64)
-        ids = np.frombuffer(b"".join(raw.to_pylist()), kind)
-        packed = block.column("positions")[0].as_py()
+        rows = rows[1:]
+        places = np.frombuffer(b"".join([r[:4] for r in rows]), "<u4")
+        order = np.argsort(places)
+        lengths = (np.fromiter(map(len, rows), np.int64, len(rows))[order] - 4) // kind.itemsize
+        ids = np.frombuffer(b"".join([rows[i][4:] for i in order.tolist()]), kind)
+        starts = np.cumsum(lengths) - lengths
         counts = np.array(block.column("counts")[0].as_py(), np.int64)
         total = int(counts.sum())
-        codes = np.frombuffer(pa.decompress(packed, total * 4, codec="zstd"), "<u4") if total else np.zeros(0, np.uint32)
-        each = lengths[codes].astype(np.int64)
-        ends = np.cumsum(each)
-        starts = np.cumsum(lengths) - lengths
-        values = ids[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(each.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        owners = block.column("doc_ids").combine_chunks()
-        owners = owners.chunk(0) if isinstance(owners, pa.ChunkedArray) else owners
-        return pa.Table.from_arrays([owners.flatten(), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))], names=schema.names)
+        planes = [np.frombuffer(pa.decompress(p, total, codec="zstd", asbytes=True), np.uint8) for p in block.column("positions")[0].as_py()]
+        owners = block.column("doc_ids").combine_chunks().flatten()
+        tables, done = [], 0
+        cuts = np.flatnonzero(np.diff(np.cumsum(counts) // PIECES_AT_ONCE, prepend=0)) + 1
+        text_ends = np.cumsum(counts)
+        for end in sorted({*cuts.tolist(), len(counts)}):
+            a, b = int(text_ends[done - 1]) if done else 0, int(text_ends[end - 1])
+            codes = np.ascontiguousarray(np.stack([p[a:b] for p in planes], axis=1)).view("<u4").ravel() if b > a else np.zeros(0, np.uint32)
+            each = lengths[codes]
+            ends = np.cumsum(each)
+            values = ids[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts[done:end])])]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))
+            tables.append(pa.Table.from_arrays([owners.slice(done, end - done), lists], names=schema.names))
+            done = end
+        return pa.concat_tables(tables)
 
     return blocks.groupBy("block").cogroup(with_ids.groupBy("block")).applyInArrow(laid_out, schema)
 
