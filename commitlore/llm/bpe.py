@@ -9,7 +9,10 @@ the ids are laid out by them. So no word makes more than one row a block, and no
 import base64
 import heapq
 import itertools
+import re
+from array import array
 from collections import defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +28,8 @@ _PLACE_BITS = 28
 _MOST_WORDS, _MOST_BLOCKS = (1 << _PLACE_BITS) - 1, (1 << 12) - 1
 #: The classes that a splitting pattern names; two regular expression libraries need not know the same Unicode version.
 _CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+#: Signs that are a pre-token of their own after letters, at the end of a cutting.
+_STOPS = frozenset(".,;:!?")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -121,23 +126,37 @@ def _split(batches, pattern: str, most_chars: int):
     import xxhash
     from pyspark import TaskContext
 
-    find, run = regex.compile(pattern).findall, regex.compile(r"(?<=\s) (?=\s|\Z)").search
+    find, run = regex.compile(pattern).findall, re.compile(r" (?<=\s )(?=\s|\Z)").search
     task, made = TaskContext.get().partitionId(), 0
 
+    def pieces(cutting) -> Sequence[str]:
+        text = cutting[0] if isinstance(cutting, tuple) else " " + cutting
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return (text,)
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return text[:-1], word[-1]
+        return find(text)
+
     def block():
         places: dict[str, int] = defaultdict(itertools.count().__next__)
-        parts = [[places[p] for p in find(c[0] if isinstance(c, tuple) else " " + c)] for c in cuttings]
-        each = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(each.sum()))
+        flat, each = array("I"), array("I")
+        for cutting in cuttings:
+            parts = pieces(cutting)
+            each.append(len(parts))
+            flat.extend(map(places.__getitem__, parts))
+        cuttings.clear()
+        flat, each = np.array(flat, np.uint32), np.array(each, np.int64)
         starts = np.cumsum(each) - each
-        counts, pieces = [], []
-        for c in codes:
+        counts, laid = [], []
+        for k, c in enumerate(codes):
             n = each[c]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(c) else 0
-            pieces.append(flat[np.repeat(starts[c] - (ends - n), n) + np.arange(total)])
+            laid.append(flat[np.repeat(starts[c] - (ends - n), n) + np.arange(total)])
             counts.append(total)
-        words, positions = list(places), np.concatenate(pieces)
+            codes[k] = None
+        words, positions = list(places), np.concatenate(laid)
         check = xxhash.xxh64(positions.tobytes())
         check.update("\n".join(words).encode())
         if made > _MOST_BLOCKS or len(words) > _MOST_WORDS:
@@ -147,7 +166,7 @@ def _split(batches, pattern: str, most_chars: int):
     ids, codes, cuttings, size = [], [], defaultdict(itertools.count().__next__), 0
     for batch in batches:
         done = 0
-        for row, text in enumerate(_texts(batch.column("text"))):
+        for row, text in enumerate(t for k in range(0, len(batch), 1000) for t in _texts(batch.column("text").slice(k, 1000))):
             first, *rest = text.split(" ")
             keys = [(first,), *rest] if not run(text) else [(p,) for p in find(text)]
             codes.append(np.fromiter(map(cuttings.__getitem__, keys), np.uint32, len(keys)))
