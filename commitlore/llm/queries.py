@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from commitlore.llm import bpe, chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, toxicity
+from commitlore.llm import bpe, chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, repair, toxicity
 from commitlore.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -176,3 +176,82 @@ def op13_byte_pairs(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text of ASCII characters, in SQL."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    signs = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {signs}), lambda c, b: {bits}), 4294967295)"
+
+
+def _plus(cost, initial: str, rest: str) -> str:
+    """SQL for a cost in eight digits and edits' initials, one edit longer at the front: texts of this form sort by cost, then initials."""
+    return f"lpad((left({rest}, 8)::INT + {cost})::VARCHAR, 8, '0') || '{initial}' || substr({rest}, 9)"
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.conversation_audits(repair.damaged(rows), rows)
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("key")} % 20 AS damage
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, unnest(range(0, CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, left(role, 1) AS r FROM hurt),
+ended AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e
+  FROM seen
+),
+told AS (
+  SELECT conv_id, turn, role, text, i, r, count(*) OVER (PARTITION BY conv_id) AS n, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS r_before,
+         CASE WHEN e = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM ended
+),
+found AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (r_before IS NOT NULL AND r_before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY 1
+),
+best(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, '00000000', '00000010II', '00000005I', '00000000' FROM (SELECT DISTINCT conv_id, n FROM told)
+  UNION ALL
+  SELECT conv_id, i, least(b0, {_plus(5, "I", "v2")}), least(b1, {_plus(5, "I", "v2")}), v2, v3 FROM (
+    SELECT conv_id, i, b0, b1, least(b2, {_plus(5, "I", "b3")}) AS v2, least(b3, {_plus(5, "I", "b2")}) AS v3 FROM (
+      SELECT t.conv_id, t.i,
+             least({_plus(2, "D", "v0")}, CASE WHEN stays AND r = 's' THEN {_plus("extra", "K", "v1")} WHEN stays AND r = 'u' THEN {_plus("extra", "K", "v2")} END,
+                   CASE WHEN stays THEN {_plus("extra + 1", "R", "v2")} END) AS b0,
+             least({_plus(2, "D", "v1")}, CASE WHEN stays AND r = 'u' THEN {_plus("extra", "K", "v2")} END, CASE WHEN stays THEN {_plus("extra + 1", "R", "v2")} END) AS b1,
+             least({_plus(2, "D", "v2")}, CASE WHEN stays AND r = 'a' THEN {_plus("extra", "K", "v3")} END, CASE WHEN stays THEN {_plus("extra + 1", "R", "v3")} END) AS b2,
+             least({_plus(2, "D", "v3")}, CASE WHEN stays AND r = 'u' THEN {_plus("extra", "K", "v2")} END, CASE WHEN stays THEN {_plus("extra + 1", "R", "v2")} END) AS b3
+      FROM best b JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM told) t
+        ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i - 1))
+),
+chosen AS (SELECT conv_id, left(v0, 8)::BIGINT AS cost, substr(v0, 9) AS audit FROM best WHERE i = 1),
+edits AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS edit, length(replace(left(audit, k), 'I', '')) AS i, length(replace(left(audit, k), 'D', '')) AS place
+  FROM chosen, unnest(range(1, length(audit) + 1)) u(k)
+),
+given AS (
+  SELECT e.*, t.role, CASE WHEN edit = 'I' THEN '' ELSE t.text END AS text,
+         max(CASE WHEN place = 1 AND edit = 'K' AND t.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS first
+  FROM edits e LEFT JOIN told t ON e.edit <> 'I' AND t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i WHERE edit <> 'D'
+),
+mended AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - first) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS whole
+  FROM given GROUP BY 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN chosen x ON x.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id"""
