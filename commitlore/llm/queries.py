@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from commitlore.llm import bpe, chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, repair, toxicity
+from commitlore.llm import bpe, chat, contamination, fingerprint, langid, lm, mixing, near_dup, packing, passages, repair, toxicity, trie
 from commitlore.llm.common import fold, table
+from commitlore.session import stage
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -255,3 +256,43 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN chosen x ON x.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    turns = stage(trie.turn_digests(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(trie.rebuilt(turns))
+
+
+SQL["op11_prefix_trie"] = rf"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+turns AS (SELECT conv_id, t, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS nth FROM told),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM told)),
+rebuilt AS (
+  SELECT i.conv_id, nth, t, words FROM ids i JOIN turns r ON r.conv_id = i.base AND nth <= h
+  UNION ALL SELECT i.conv_id, nth, t, words FROM ids i JOIN turns r ON r.conv_id = i.conv_id AND nth > h
+),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, words, string_agg(t, '') OVER w AS node, string_agg(t, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY nth)
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids
+),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, CASE WHEN min(depth) > 0 THEN coalesce(min(parent), '') END AS parent, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved
+  FROM paths GROUP BY 1
+),
+children AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+subtrees AS (
+  SELECT p.node, sum(CASE WHEN c.parent IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(u.saved)::BIGINT AS saved_tokens
+  FROM nodes u LEFT JOIN children c ON c.parent = u.node JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY 1
+),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, node FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN subtrees s USING (node) LEFT JOIN children c ON c.parent = n.node LEFT JOIN nodes q ON q.node = n.parent LEFT JOIN ends e ON e.node = n.node"""
