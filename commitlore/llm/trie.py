@@ -98,14 +98,15 @@ class SpillingQueue:
     """A priority queue of tuples in bounded memory: when it holds too many, they go to a file as one sorted run."""
 
     def __init__(self, most: int = HELD_MESSAGES):
-        self.most, self.heap, self.heads = most, [], []
+        self.most, self.heap, self.heads, self.runs = most, [], [], 0
 
     def push(self, item: tuple) -> None:
         heapq.heappush(self.heap, item)
         if len(self.heap) > self.most:
             run = self._run(sorted(self.heap))
             self.heap = []
-            heapq.heappush(self.heads, (next(run), len(self.heads), run))
+            heapq.heappush(self.heads, (next(run), self.runs, run))  # of equal items the older run's comes first
+            self.runs += 1
 
     @staticmethod
     def _run(items: list):
