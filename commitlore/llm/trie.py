@@ -22,7 +22,7 @@ from commitlore.session import stage
 #: Messages that a queue holds before it writes them to a file.
 HELD_MESSAGES = 200_000
 #: Shards hold at least so many turns, and about a fourth of a partition's share: there are a few shards a partition.
-LEAST_SHARD, SHARDS_A_PARTITION = 1024, 4
+LEAST_SHARD, SHARDS_A_PARTITION = 64, 4
 #: Ids in one piece of a list of members.
 PIECE_IDS = 50_000
 #: The root's digest; every other prefix has a digest of its parent's and its last turn's.
