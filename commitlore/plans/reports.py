@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame, functions as F
 
 from commitlore.operators import (
-    activity, baskets, clusters, features, filters, impact, metrics, models, network, profile, quality, similarity,
+    activity, baskets, clusters, features, filters, impact, metrics, models, neighbours, network, profile, quality, similarity,
 )
+from commitlore.operators.communities import graph_communities
 from commitlore.schema import DMM_COLUMNS
 from commitlore.session import stage
 
-MAX_GRAPH_NODES = 20_000
+# Graphs of similar commits.
+NEIGHBOURS, THRESHOLD = "neighbours", "threshold"
 
 
 def quality_report(commits: DataFrame, higher_is_better: bool = False) -> dict[str, DataFrame]:
@@ -118,9 +120,13 @@ def mine_associations(file_changes: DataFrame, max_files: int | None = baskets.M
 
 def cluster_analysis(
     feature_rows: DataFrame, key: str = "hash", max_clusters: int = clusters.MAX_CLUSTERS,
-    restarts: int = clusters.RESTARTS, communities: bool = True,
+    restarts: int = clusters.RESTARTS, communities: bool = True, graph: str = NEIGHBOURS,
 ) -> dict[str, DataFrame]:
-    """Components, k-means over k, communities of similar commits, and an evaluation of both."""
+    """Components, k-means over k, communities of similar commits, and an evaluation of both.
+
+    Communities are those of the graph of nearest neighbours, whose size grows with the rows. With graph="threshold" they are
+    those of the tenth of all pairs that are most similar; this compares all pairs and keeps a tenth of them.
+    """
     chosen = stage(clusters.clustering_features(feature_rows, keep=(key,)))
     columns = [c for c in chosen.columns if c != key]
     if len(columns) < 2:
@@ -141,20 +147,20 @@ def cluster_analysis(
 
         rows = vectors.select(key, vector_to_array("features").alias("vec"), "features")
         nodes = stage(similarity.vector_nodes(rows, key, "vec"))
-        if nodes.count() <= MAX_GRAPH_NODES:
-            edges = similarity.similarity_graph(nodes, *similarity.similarity_scale(nodes)).withColumn("weight", F.lit(1.0))
-            found = similarity.graph_communities(edges)
-            # a node without edges is a community of its own
-            by_vector = nodes.join(found, "node", "left").select(
-                "vec", F.coalesce("community", F.col("node")).alias("name")
-            )
-            codes = by_vector.select("name").distinct()
-            numbered, _ = features.label_dictionaries(codes, ["name"])["name"]
-            placed = by_vector.join(numbered, F.col("name") == F.col("value")).select("vec", F.col("code").alias("cluster"))
-            members = stage(rows.join(placed, "vec").drop("vec"))
-            report["communities"] = members.select(key, "cluster")
-            report["community_sizes"] = clusters.cluster_sizes(members)
-            labelled["communities"] = members
+        if graph == THRESHOLD:
+            edges = neighbours.weighted(similarity.similarity_graph(nodes, *similarity.similarity_scale(nodes)), nodes)
+        else:
+            edges = neighbours.neighbour_graph(nodes)
+        found = graph_communities(edges)
+        # a node without edges is a community of its own
+        by_vector = nodes.join(found, "node", "left").select("vec", F.coalesce("community", F.col("node")).alias("name"))
+        codes = by_vector.select("name").distinct()
+        numbered, _ = features.label_dictionaries(codes, ["name"])["name"]
+        placed = by_vector.join(numbered, F.col("name") == F.col("value")).select("vec", F.col("code").alias("cluster"))
+        members = stage(rows.join(placed, "vec").drop("vec"))
+        report["communities"] = members.select(key, "cluster")
+        report["community_sizes"] = clusters.cluster_sizes(members)
+        labelled["communities"] = members
     if labelled:
         report["evaluation"] = clusters.cluster_report(labelled)
     return report

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commitlore.operators import clusters, similarity
+from commitlore.operators import clusters, communities, neighbours, similarity
 from commitlore.operators.features import expanded_vector, feature_table
 from commitlore.registry.base import COMMITS, query, rounded
 from commitlore.schema import DMM_COLUMNS, SIZE_COLUMNS
@@ -55,7 +55,70 @@ def similarity_modularity(spark, sf_dir):
 
 @query("graph_communities")
 def graph_communities(spark, sf_dir):
-    return similarity.graph_communities(_graph(spark, sf_dir).withColumn("weight", F.lit(1.0)))
+    nodes = stage(similarity.vector_nodes(_embeddings(spark, sf_dir), "vec_id", "embedding"))
+    return communities.graph_communities(neighbours.neighbour_graph(nodes))
+
+
+# Vectors of three small whole numbers, many of them equal: rows (vec_id, e), nodes of distinct vectors, and what holds between them.
+_COPIES = """r AS (SELECT vec_id, [floor(embedding[1]::double * 8), floor(embedding[2]::double * 8), floor(embedding[3]::double * 8)] AS e FROM embeddings),
+n AS (SELECT e, min(vec_id) AS node, count(*) AS copies FROM r GROUP BY e)"""
+_COPIES_GRAPH = f"""{_COPIES},
+d AS (SELECT a.vec_id AS x, b.vec_id AS y, list_distance(a.e, b.e) AS d FROM r a JOIN r b ON a.vec_id < b.vec_id),
+sigma AS (SELECT median(d) AS s FROM d),
+cut AS (SELECT quantile_cont(sim, 0.9) AS c, any_value(s) AS s FROM (
+  SELECT exp(-d * d / (2 * s * s)) AS sim, s FROM d, sigma UNION ALL SELECT exp(-d * d / (2 * s * s)), s FROM d, sigma UNION ALL SELECT 1.0, s FROM r, sigma))"""
+_COPIES_NEAREST = f"""{_COPIES},
+p AS (SELECT a.node, b.node AS neighbour, list_distance(a.e, b.e) AS distance FROM n a JOIN n b ON a.node <> b.node),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, neighbour) AS rank FROM p QUALIFY rank <= 15)"""
+
+
+def _few_vectors(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    vec = F.array(*[F.floor(F.element_at(e, i) * 8).cast("double") for i in (1, 2, 3)])
+    return similarity.vector_nodes(_embeddings(spark, sf_dir).select("vec_id", vec.alias("vec")), "vec_id", "vec")
+
+
+@query("similarity_scale_of_copies", f"WITH {_COPIES_GRAPH} SELECT round(s, 6) AS sigma, round(c, 6) AS threshold FROM cut")
+def similarity_scale_of_copies(spark, sf_dir):
+    found = similarity.similarity_scale(_few_vectors(spark, sf_dir))
+    return rounded(spark.createDataFrame([found], "sigma double, threshold double"), "sigma", "threshold")
+
+
+@query("similarity_graph_of_copies", f"""WITH {_COPIES_GRAPH},
+g AS (SELECT a.node AS src, b.node AS dst, exp(-(list_distance(a.e, b.e) ^ 2) / (2 * s * s)) AS sim, (a.copies * b.copies)::double AS weight, c
+      FROM n a JOIN n b ON a.node < b.node, cut)
+SELECT src, dst, round(sim, 6) AS similarity, weight FROM g WHERE sim > c + 1e-12
+UNION ALL SELECT node, node, 1.0, copies * (copies - 1) / 2 FROM n WHERE copies > 1""")
+def similarity_graph_of_copies(spark, sf_dir):
+    nodes = stage(_few_vectors(spark, sf_dir))
+    sigma, cut = similarity.similarity_scale(nodes)
+    return rounded(neighbours.weighted(similarity.similarity_graph(nodes, sigma, cut + 1e-12), nodes), "similarity")
+
+
+@query("nearest_neighbours", f"""WITH {_DIST}, k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS rank FROM d QUALIFY rank <= 15)
+SELECT x AS node, y AS neighbour, round(d, 6) AS distance, rank::int AS rank FROM k""")
+def nearest_neighbours(spark, sf_dir):
+    nodes = similarity.vector_nodes(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    return rounded(neighbours.nearest_neighbours(nodes), "distance")
+
+
+@query("neighbour_graph", f"""WITH {_COPIES_NEAREST},
+sums AS (SELECT unnest([1, 2, 3]) AS i, unnest(e) AS v FROM r),
+sigma AS (SELECT sqrt(2 * sum(v)) AS s FROM (SELECT var_samp(v) AS v FROM sums GROUP BY i)),
+g AS (SELECT DISTINCT least(node, neighbour) AS src, greatest(node, neighbour) AS dst, distance FROM k)
+SELECT src, dst, round(exp(-distance * distance / (2 * s * s)), 6) AS similarity, (a.copies * b.copies)::double AS weight
+FROM g JOIN n a ON a.node = src JOIN n b ON b.node = dst, sigma
+UNION ALL SELECT node, node, 1.0, copies * (copies - 1) / 2 FROM n WHERE copies > 1""")
+def neighbour_graph(spark, sf_dir):
+    return rounded(neighbours.neighbour_graph(stage(_few_vectors(spark, sf_dir))), "similarity")
+
+
+@query("community_quality", f"""WITH {_COPIES_NEAREST}
+SELECT count(*) AS nodes, true AS better_than_alone, 0 AS nodes_that_gain FROM n""")
+def community_quality(spark, sf_dir):
+    edges = stage(neighbours.neighbour_graph(stage(_few_vectors(spark, sf_dir))))
+    found = communities.community_quality(edges, communities.graph_communities(edges))
+    return found.select("nodes", (F.col("modularity") > 0).alias("better_than_alone"), F.col("nodes_that_gain").cast("int").alias("nodes_that_gain"))
 
 
 _SILHOUETTE = """

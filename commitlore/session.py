@@ -47,7 +47,19 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads, such as those of a finished round; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager

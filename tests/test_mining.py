@@ -1,13 +1,14 @@
 """Baskets, rules, networks, similarity and clusters against plain computations."""
 
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from commitlore.operators import baskets, clusters, impact, network, similarity
+from commitlore.operators import baskets, clusters, communities, impact, neighbours, network, similarity
 
 
 def files_of(spark, commits):
@@ -161,6 +162,7 @@ def vectors(spark, data):
 def test_similarity_graph(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
     monkeypatch.setattr(similarity, "MAX_PIVOTS", pivots)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.normal(c, 0.3, (30, 3)) for c in (0, 2, 5)] + [np.zeros((25, 3))])
     nodes = similarity.vector_nodes(vectors(spark, data), "id", "v")
@@ -168,9 +170,10 @@ def test_similarity_graph(spark, monkeypatch, block, pivots):
     unique = {tuple(v): i for i, v in reversed(list(enumerate(data)))}
     ids, m = list(unique.values()), np.array(list(unique))
     d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
-    sigma = np.median(d[np.triu_indices(len(m), 1)])
+    every = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1))  # copies count as rows
+    sigma = np.median(every[np.triu_indices(len(data), 1)])
+    cut = np.quantile(np.exp(-(every**2) / (2 * sigma**2)), 0.9)
     sim = np.exp(-(d**2) / (2 * sigma**2))
-    cut = np.quantile(sim, 0.9)
     found_sigma, found_cut = similarity.similarity_scale(nodes)
     assert (found_sigma, found_cut) == (pytest.approx(sigma), pytest.approx(cut))
     expected = {
@@ -199,11 +202,90 @@ def test_exact_silhouette(spark, monkeypatch, block):
     assert similarity.silhouette_exact(df, "id", "v", "label").first()[0] == pytest.approx(np.mean(scores))
 
 
+@pytest.mark.parametrize("block, pivots, k", [(1024, 4096, 4), (6, 4096, 4), (5, 1, 9), (7, 4096, 200)])
+def test_nearest_neighbours(spark, monkeypatch, block, pivots, k):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "MAX_PIVOTS", pivots)
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.normal(c, 0.3, (30, 3)) for c in (0, 2, 5)] + [rng.integers(0, 3, (60, 3)).astype(float)])
+    nodes = similarity.vector_nodes(vectors(spark, data), "id", "v")
+    unique = {tuple(v): i for i, v in reversed(list(enumerate(data)))}
+    expected = set()
+    for v, i in unique.items():
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for w, j in unique.items() if j != i)[:k]
+        expected |= {(i, j, rank + 1) for rank, (_, j) in enumerate(near)}
+    found = neighbours.nearest_neighbours(nodes, k).collect()
+    assert len(found) == len(expected) and {(r["node"], r["neighbour"], r["rank"]) for r in found} == expected
+    count = nodes.agg(F.max("copies")).first()[0]
+    assert count > 1
+    graph = neighbours.neighbour_graph(nodes, k).collect()
+    copies = {r["node"]: r["copies"] for r in nodes.collect()}
+    assert {(r["src"], r["dst"]): r["weight"] for r in graph} == {
+        **{(min(i, j), max(i, j)): copies[i] * copies[j] for i, j, _ in expected}, **{(i, i): c * (c - 1) / 2 for i, c in copies.items() if c > 1}}
+
+
+def test_scale_is_linear_and_counts_copies(spark):
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 3, (50, 2)).astype(float) + 1000
+    d2 = ((data[:, None] - data[None]) ** 2).sum(-1)
+    nodes = similarity.vector_nodes(vectors(spark, data), "id", "v")
+    assert neighbours.mean_square_scale(nodes) == pytest.approx(math.sqrt(d2.sum() / (50 * 49)))
+    none = similarity.vector_nodes(vectors(spark, data).filter("id < 0"), "id", "v")
+    assert neighbours.mean_square_scale(none) == 0.0 and similarity.similarity_scale(none) == (0.0, 1.0)
+    assert neighbours.nearest_neighbours(none).collect() == [] and neighbours.neighbour_graph(none).collect() == []
+    same = similarity.vector_nodes(vectors(spark, np.ones((7, 2))), "id", "v")
+    assert [tuple(r) for r in neighbours.neighbour_graph(same).collect()] == [(0, 0, 1.0, 21.0)]
+
+
+def plain_quality(edges, label, resolution=1.0):
+    total = sum(w for _, _, w in edges)
+    inside, deg = {}, {}
+    for a, b, w in edges:
+        for x in (a, b):
+            deg[label[x]] = deg.get(label[x], 0) + w
+        if label[a] == label[b]:
+            inside[label[a]] = inside.get(label[a], 0) + w
+    return sum(inside.get(c, 0) / total - resolution * (deg[c] / (2 * total)) ** 2 for c in deg)
+
+
+def test_no_move_betters_communities(spark):
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b), float(rng.integers(1, 4))) for a, b in rng.integers(0, 60, (110, 2))]
+    edges += [(100, a, 1.0) for a in range(0, 60, 2)] + [(200, 200, 5.0), (300, 301, 2.0), (301, 300, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    rows = communities.graph_communities(df).collect()
+    found = {r["node"]: r["community"] for r in rows}
+    assert len(rows) == len(found) == len({x for a, b, _ in edges for x in (a, b)}) and found[200] == 200
+    best = plain_quality(edges, found)
+    for node in found:
+        for other in set(found.values()):
+            assert plain_quality(edges, {**found, node: other}) <= best + 1e-9
+    for a, b in itertools.combinations(set(found.values()), 2):
+        assert plain_quality(edges, {n: a if c == b else c for n, c in found.items()}) <= best + 1e-9
+    for name in set(found.values()):  # connected, and named by the least member
+        members = {n for n, c in found.items() if c == name}
+        reached, todo = {name}, [name]
+        while todo:
+            n = todo.pop()
+            for a, b, _ in edges:
+                for x, y in ((a, b), (b, a)):
+                    if x == n and y in members and y not in reached:
+                        reached.add(y)
+                        todo.append(y)
+        assert reached == members and name == min(members)
+    row = communities.community_quality(df, spark.createDataFrame(list(found.items()), "node long, community long")).first()
+    assert row["nodes_that_gain"] == 0 and row["modularity"] == pytest.approx(best) and row["nodes"] == len(found)
+
+
+def test_graphs_without_edges_have_no_communities(spark):
+    assert communities.graph_communities(spark.createDataFrame([], "src long, dst long, weight double")).collect() == []
+
+
 def test_communities_of_two_cliques(spark):
     clique = [(a, b) for a, b in itertools.combinations(range(6), 2)]
     edges = [(a, b, 1.0) for a, b in clique] + [(a + 10, b + 10, 1.0) for a, b in clique] + [(0, 10, 1.0)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
-    found = {r["node"]: r["community"] for r in similarity.graph_communities(df).collect()}
+    found = {r["node"]: r["community"] for r in communities.graph_communities(df).collect()}
     assert len(set(found.values())) == 2 and len({found[i] for i in range(6)}) == 1
     labels = spark.createDataFrame(list(found.items()), "node long, label long")
     m, deg = 31, 31
