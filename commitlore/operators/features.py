@@ -15,6 +15,7 @@ from commitlore.functions.numbers import (
 from commitlore.functions.text import msg_length, msg_word_count, tokenize_message
 from commitlore.operators.filters import correlations, project_model_columns
 from commitlore.operators.quantiles import exact_quantiles
+from commitlore.operators.splits import kfold, train_test_split  # noqa: F401
 from commitlore.schema import (
     CATEGORY_COLUMNS, DATE_COLUMNS, DMM_COLUMNS, FLAG_COLUMNS, SIZE_COLUMNS,
 )
@@ -33,7 +34,6 @@ STANDARDIZED_COLUMNS = [
 SMALL_DICTIONARY = 200_000
 ONE_TASK_DICTIONARY = 2_000_000
 SALTS = 32
-LARGE_CLASS = 100_000
 
 
 def _present(df, columns):
@@ -279,37 +279,3 @@ def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
     found = correlations(df, list(columns or numeric_columns(df)))
     rows = [(a, b, r) for (a, b), r in found.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, other string, correlation double")
-
-
-# --- splits --------------------------------------------------------------------
-
-
-def hash_share(key: str, seed: int) -> Column:
-    """A fixed pseudo-random number in [0, 1) of a row's key."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-
-
-def train_test_split(
-    df: DataFrame, key: str, test: float = 0.2, seed: int = 42, label: str | None = None, large_class: int = LARGE_CLASS,
-) -> DataFrame:
-    """Adds `is_test`. With a label, each class gives the same share of its rows.
-
-    A class of ordinary size is cut at its exact share. In a large one the share of the
-    hash itself is as good, and the class need not be brought together.
-    """
-    share = hash_share(key, seed)
-    if label is None:
-        return df.withColumn("is_test", share < test)
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    large = [r[0] for r in sizes.filter((F.col("n") > large_class) & F.col(label).isNotNull()).collect()]
-    is_large = F.col(label).isNull() | F.col(label).isin(large)
-    in_class = W.partitionBy(label)
-    place = F.row_number().over(in_class.orderBy(share, key))
-    cut = F.ceil(F.lit(test) * F.count("*").over(in_class))
-    small = df.filter(~is_large).withColumn("is_test", place <= cut)
-    return small.unionByName(df.filter(is_large).withColumn("is_test", share < test))
-
-
-def kfold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Adds `fold`, 0 to folds-1."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))

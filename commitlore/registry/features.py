@@ -151,13 +151,23 @@ def document_embeddings(spark, sf_dir):
     return features.expanded_vector(df, "embedding", "w2v_", 50).drop("text")
 
 
-@query("train_test_split", f"""WITH {COMMITS}, c AS (SELECT branches, count(*) AS n, cast(ceil(0.2e0 * count(*)) AS bigint) AS t FROM commits GROUP BY 1)
-SELECT branches, true AS is_test, t AS "rows" FROM c UNION ALL SELECT branches, false, n - t FROM c""")
+# Rows in the order of 60 bits of the md5 of their key, after the seed.
+_BITS = "('0x' || substr(md5('42:' || hash), 1, 15))::BIGINT"
+
+
+@query("train_test_split", f"""WITH {COMMITS}
+SELECT hash, branches, rank() OVER (PARTITION BY branches ORDER BY {_BITS}) <= ceil(0.2e0 * count(*) OVER (PARTITION BY branches)) AS is_test FROM commits""")
 def train_test_split(spark, sf_dir):
-    df = commits(spark, sf_dir, "hash", "branches")
-    return features.train_test_split(df, "hash", label="branches").groupBy("branches", "is_test").agg(F.count("*").alias("rows"))
+    return features.train_test_split(commits(spark, sf_dir, "hash", "branches"), "hash", label="branches")
+
+
+@query("train_test_split_of_all", f"""WITH {COMMITS}
+SELECT hash, rank() OVER (ORDER BY {_BITS}) <= ceil(0.2e0 * count(*) OVER ()) AS is_test FROM commits""")
+def train_test_split_of_all(spark, sf_dir):
+    return features.train_test_split(commits(spark, sf_dir, "hash"), "hash")
 
 
-@query("kfold")
+@query("kfold", f"""WITH {COMMITS}, r AS (SELECT hash, row_number() OVER (ORDER BY {_BITS}) AS i, count(*) OVER () AS n FROM commits)
+SELECT hash, CASE WHEN i <= (n % 5) * (n // 5 + 1) THEN (i - 1) // (n // 5 + 1) ELSE n % 5 + (i - 1 - (n % 5) * (n // 5 + 1)) // (n // 5) END::INT AS fold FROM r""")
 def kfold(spark, sf_dir):
-    return features.kfold(commits(spark, sf_dir, "hash"), "hash").groupBy("fold").agg(F.count("*").alias("rows"))
+    return features.kfold(commits(spark, sf_dir, "hash"), "hash")

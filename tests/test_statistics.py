@@ -1,6 +1,8 @@
 """Quantiles, roll-ups, quality and features against plain computations."""
 
 import datetime as dt
+import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -8,7 +10,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from commitlore.operators import activity, commit_rollups, features, filters, quality
+from commitlore.operators import activity, commit_rollups, features, filters, quality, splits
 from commitlore.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -128,11 +130,38 @@ def test_hashed_vocabulary(spark):
     assert not any([r for r in out if r["id"] == 99][0]["embedding"].toArray())
 
 
-def test_stratified_split(spark):
-    df = spark.createDataFrame([(str(i), "a" if i < 100 else "b") for i in range(1000)], "hash string, label string")
-    rows = features.train_test_split(df, "hash", label="label").groupBy("label").agg(F.avg(F.col("is_test").cast("int")).alias("s"))
-    assert all(abs(r["s"] - 0.2) < 0.02 for r in rows.collect())
-    assert features.kfold(df, "hash").groupBy("fold").count().count() == 5
+def bits(key, seed=42):
+    return int(hashlib.md5(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:15], 16)
+
+
+@pytest.mark.parametrize("step", [12, 4])
+def test_stratified_split(spark, monkeypatch, step):
+    monkeypatch.setattr(splits, "_STEP", step)
+    label = lambda i: "all" if i % 3 else None if i < 300 else f"c{i % 97}"
+    rows = [(str(i), label(i)) for i in range(7000)] + [("same", "copies")] * 50 + [("alone", "one"), (None, "no key")]
+    df = spark.createDataFrame(rows, "hash string, label string")
+    found = features.train_test_split(df, "hash", label="label").collect()
+    assert len(found) == len(rows)
+    for name in {x for _, x in rows}:
+        keys = [k for k, x in rows if x == name]
+        test = [r["hash"] for r in found if r["label"] == name and r["is_test"]]
+        first = sorted(keys, key=bits)[: math.ceil(0.2 * len(keys))]
+        assert sorted(test, key=str) == sorted((k for k in keys if bits(k) <= bits(first[-1])), key=str)
+    every = features.train_test_split(df.filter("label = 'all'"), "hash", test=0.25).collect()
+    assert sum(r["is_test"] for r in every) == math.ceil(0.25 * len(every))
+    folds = {r["hash"]: r["fold"] for r in features.kfold(df.filter("label = 'all'"), "hash", 7).collect()}
+    order = sorted(folds, key=bits)
+    sizes = [len(order) // 7 + (i < len(order) % 7) for i in range(7)]
+    assert [folds[k] for k in order] == [i for i, n in enumerate(sizes) for _ in range(n)]
+
+
+def test_split_of_no_rows(spark):
+    none = spark.createDataFrame([], "hash string, label string")
+    assert features.train_test_split(none, "hash", label="label").collect() == []
+    assert features.train_test_split(none, "hash").collect() == [] and features.kfold(none, "hash").collect() == []
+    some = spark.createDataFrame([("a", "x"), ("b", "x")], "hash string, label string")
+    assert not any(r["is_test"] for r in features.train_test_split(some, "hash", test=0.0, label="label").collect())
+    assert sorted(r["fold"] for r in features.kfold(some, "hash", 5).collect()) == [0, 1]
 
 
 def test_split_does_not_depend_on_partitions(spark):
