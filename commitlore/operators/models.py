@@ -1,21 +1,19 @@
 """Prediction models on feature tables.
 
-Trees, boosting and linear models come from Spark ML. Two slots have no Spark
-counterpart and are approximations: the RBF kernel is a random Fourier feature map in
-front of a linear model, and the network regressor is a factorisation machine.
+Forests, boosted regressors and the network classifier come from Spark ML; boosting of all classes in one model, support vectors
+and the network regressor are fitted here, by sums that Spark makes. The RBF kernel is approximated by a map to
+random Fourier features.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from commitlore.operators import features as ft, metrics
+from commitlore.operators import boosting, descent, features as ft, metrics
 from commitlore.operators.filters import MIN_ROWS, class_size_guard, min_rows_guard, numeric_columns
 from commitlore.schema import DMM_COLUMNS
 from commitlore.session import reused, stage
@@ -65,14 +63,9 @@ def _importances(model, inputs) -> list[tuple[str, float]]:
     return [(c, float(v)) for c, v in zip(inputs, model.featureImportances.toArray())]
 
 
-def _one_vs_rest_importances(model, inputs) -> list[tuple[str, float]]:
-    per_class = [dict(_importances(m, inputs)) for m in model.models]
-    if not per_class or not per_class[0]:
-        return []
-    return [(c, float(np.mean([p[c] for p in per_class]))) for c in inputs]
-
-
-def fit_regressors(train: DataFrame, test: DataFrame, inputs, trees: int = TREES, rounds: int = ROUNDS, iterations: int = ITERATIONS):
+def fit_regressors(
+    train: DataFrame, test: DataFrame, inputs, trees: int = TREES, rounds: int = ROUNDS, iterations: int = ITERATIONS, layers=HOLDOUT_LAYERS,
+):
     """Yields (model name, predictions on test, importances)."""
     for name, estimator in [
         ("RandomForest", RandomForestRegressor(numTrees=trees, seed=SEED, labelCol="label")),
@@ -81,15 +74,14 @@ def fit_regressors(train: DataFrame, test: DataFrame, inputs, trees: int = TREES
         model = estimator.fit(train)
         yield name, model.transform(test).select("label", "prediction"), _importances(model, inputs)
     a, b = _scaled(train, test)
+    gamma = 1.0 / len(inputs)
     with reused(a.select("label", "scaled")) as scaled:
-        mapped = rbf_features(scaled, "scaled", "rbf", len(inputs), 1.0 / len(inputs))
-        # closed form: one pass over the rows, whatever their number
-        ridge = LinearRegression(solver="normal", featuresCol="rbf", labelCol="label", regParam=1e-3)
-        model = ridge.fit(mapped)
-        shown = rbf_features(b, "scaled", "rbf", len(inputs), 1.0 / len(inputs))
-        yield "SVM", model.transform(shown).select("label", "prediction"), []
-        fm = FMRegressor(featuresCol="scaled", labelCol="label", factorSize=8, maxIter=iterations, stepSize=0.05, seed=SEED)
-        yield "MLP", fm.fit(scaled).transform(b).select("label", "prediction"), []
+        with reused(rbf_features(scaled, "scaled", "rbf", len(inputs), gamma)) as mapped:
+            svm = descent.fit_tube(mapped, RBF_FEATURES, iterations, "rbf")
+        shown = rbf_features(b, "scaled", "rbf", len(inputs), gamma)
+        yield "SVM", descent.predictions(shown, svm, "rbf").select("label", "prediction"), []
+        network = descent.fit_perceptron(scaled, len(inputs), layers, iterations)
+        yield "MLP", descent.predictions(b, network, "scaled").select("label", "prediction"), []
 
 
 def fit_classifiers(
@@ -102,22 +94,16 @@ def fit_classifiers(
         model = RandomForestClassifier(numTrees=trees, seed=SEED, labelCol="label").fit(train)
         yield "RandomForest", model.transform(test).select("label", "prediction"), _importances(model, inputs)
     if "GradientBoosting" in wanted:
-        boosted = GBTClassifier(maxIter=rounds, maxDepth=3, seed=SEED, labelCol="label")
-        if classes == 2:
-            model = boosted.fit(train)
-            importances = _importances(model, inputs)
-        else:
-            model = OneVsRest(classifier=boosted, labelCol="label").fit(train)
-            importances = _one_vs_rest_importances(model, inputs)
-        yield "GradientBoosting", model.transform(test).select("label", "prediction"), importances
+        boosted = boosting.fit_boosted(train, len(inputs), classes, rounds)
+        yield "GradientBoosting", boosting.boosted_predictions(test, boosted).select("label", "prediction"), list(zip(inputs, boosted.importances))
     a, b = _scaled(train, test)
     with reused(a.select("label", "scaled")) as scaled:
         if "SVM" in wanted:
-            mapped = rbf_features(scaled, "scaled", "rbf", len(inputs), 1.0 / len(inputs))
-            svc = LinearSVC(maxIter=iterations, regParam=1e-3, featuresCol="rbf", labelCol="label")
-            model = (svc if classes == 2 else OneVsRest(classifier=svc, featuresCol="rbf", labelCol="label")).fit(mapped)
-            shown = rbf_features(b, "scaled", "rbf", len(inputs), 1.0 / len(inputs))
-            yield "SVM", model.transform(shown).select("label", "prediction"), []
+            gamma = 1.0 / len(inputs)
+            with reused(rbf_features(scaled, "scaled", "rbf", len(inputs), gamma)) as mapped:
+                svm = descent.fit_margins(mapped, RBF_FEATURES, classes, iterations, "rbf")
+            shown = rbf_features(b, "scaled", "rbf", len(inputs), gamma)
+            yield "SVM", descent.predictions(shown, svm, "rbf").select("label", "prediction"), []
         if "MLP" in wanted:
             network = MultilayerPerceptronClassifier(
                 layers=[len(inputs), *layers, classes], maxIter=iterations, seed=SEED, featuresCol="scaled", labelCol="label",
@@ -251,7 +237,7 @@ def cv_regression(
     if reason:
         return {"skipped": _skipped(df.sparkSession, [(target, reason)])}
     return _cross_validated(
-        data, key, target, folds, lambda a, b: fit_regressors(a, b, inputs, trees, rounds, iterations), metrics.regression_metrics
+        data, key, target, folds, lambda a, b: fit_regressors(a, b, inputs, trees, rounds, iterations, CV_LAYERS), metrics.regression_metrics
     )
 
 

@@ -175,7 +175,7 @@ def rbf_features(spark, sf_dir):
 
 @query("train_regressors")
 def train_regressors(spark, sf_dir):
-    return models.train_regressors(_features(spark, sf_dir), targets=["dmm_unit_complexity"], **_FAST)["scores"]
+    return models.train_regressors(_features(spark, sf_dir), **_FAST)["scores"]
 
 
 @query("feature_importance")
@@ -191,25 +191,25 @@ def predict_quality_class(spark, sf_dir):
 
 @query("predict_file_type")
 def predict_file_type(spark, sf_dir):
-    return models.predict_file_type(_features(spark, sf_dir), only=["RandomForest"], **_FAST)["scores"]
+    return models.predict_file_type(_features(spark, sf_dir), **_FAST)["scores"]
 
 
 @query("predict_change_type")
 def predict_change_type(spark, sf_dir):
-    return models.predict_change_type(_features(spark, sf_dir), only=["RandomForest"], **_FAST)["confusion"]
+    return models.predict_change_type(_features(spark, sf_dir), **_FAST)["confusion"]
 
 
 @query("cv_regression")
 def cv_regression(spark, sf_dir):
     df = features.dmm_score(_features(spark, sf_dir))
-    return models.cv_regression(df, folds=2, **_FAST)["scores"]
+    return models.cv_regression(df, **_FAST)["scores"]
 
 
 @query("cv_classification")
 def cv_classification(spark, sf_dir):
     df = features.dmm_score(_features(spark, sf_dir))
     labelled = features.quartile_label(df, "dmm_score", "dmm_risk_level")
-    return models.cv_classification(labelled, folds=2, **_FAST)["scores"]
+    return models.cv_classification(labelled, **_FAST)["scores"]
 
 
 @query("file_impact")
