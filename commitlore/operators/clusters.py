@@ -1,13 +1,12 @@
 """Clusterings of feature tables, their evaluation, and principal components."""
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from commitlore.operators import features as ft
+from commitlore.operators import features as ft, lloyd
 from commitlore.operators.filters import (
     constant_columns, correlated_columns, exclude_id_like, numeric_columns,
 )
@@ -52,12 +51,6 @@ def as_vectors(df: DataFrame, array_col: str, output: str = "features") -> DataF
 # --- k-means -------------------------------------------------------------------
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED):
-    """The model with the least inertia over the restarts."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=50, tol=1e-4).fit(vectors) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def silhouette_value(clustered: DataFrame, label: str = "prediction", vector: str = "features") -> float | None:
     """Mean silhouette over squared Euclidean distances, in time linear in the rows.
 
@@ -76,29 +69,34 @@ def silhouette(clustered: DataFrame, label: str = "prediction", vector: str = "f
 
 
 def kmeans_sweep(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> dict:
-    """Silhouette and inertia for k = 2 .. min(max, rows / 2), and the clustering of the best k."""
-    with reused(vectors) as table:
-        top = min(max_clusters, table.limit(2 * max_clusters).count() // 2)
+    """Silhouette and inertia for k = 2 .. min(max, rows / 2), and the clustering of the best k.
+
+    All k and restarts go over the rows together, one scan an iteration.
+    """
+    with reused(vectors.select(vector_to_array("features").alias("x"))) as rows:
+        top = min(max_clusters, rows.limit(2 * max_clusters).count() // 2)
         if top < 2:
             return {"error": "too few rows to cluster"}
-        tried = []
-        for k in range(2, top + 1):
-            model = best_kmeans(table, k, restarts, seed)
-            tried.append((k, silhouette_value(model.transform(table)), float(model.summary.trainingCost), model))
-    best = max(tried, key=lambda t: (t[1] if t[1] is not None else -2.0, -t[0]))
+        fits = lloyd.fit_all(rows, list(range(2, top + 1)), restarts, seed)
+        found = lloyd.silhouettes(rows, fits)
+    best = max(fits, key=lambda k: (found[k] if found[k] is not None else -2.0, -k))
     session = vectors.sparkSession
-    labelled = best[3].transform(vectors).withColumnRenamed("prediction", "cluster")
+    labelled = _labelled(vectors, fits[best][0])
     return {
-        "best_k": best[0],
-        "scores": session.createDataFrame([t[:3] for t in tried], "k int, silhouette double, inertia double"),
-        "centers": _centers(session, best[3]),
+        "best_k": best,
+        "scores": session.createDataFrame([(k, found[k], fits[k][1]) for k in fits], "k int, silhouette double, inertia double"),
+        "centers": _centers(session, fits[best][0]),
         "labels": labelled,
         "sizes": cluster_sizes(labelled),
     }
 
 
-def _centers(session, model) -> DataFrame:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+def _labelled(vectors: DataFrame, centers, output: str = "cluster") -> DataFrame:
+    return lloyd.labelled(vectors.withColumn("_x", vector_to_array("features")), "_x", centers, output).drop("_x")
+
+
+def _centers(session, centers) -> DataFrame:
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
     return session.createDataFrame(rows, "cluster int, center array<double>")
 
 
@@ -190,12 +188,12 @@ def fixed_kmeans_profile(df: DataFrame, columns, keep=("hash", "author"), restar
     columns, session = list(columns), df.sparkSession
     with reused(ft.impute_mean(df.select(*keep, *columns), columns)) as filled:
         scaled, loadings, _ = fit_pca(filled, columns, PROFILE_COMPONENTS)
-        model = best_kmeans(scaled, PROFILE_CLUSTERS, restarts)
-        points = _projected(
-            model.transform(scaled).withColumnRenamed("prediction", "cluster"), loadings, [*keep, "cluster"]
-        )
+        with reused(scaled.select(vector_to_array("features").alias("x"))) as rows:
+            fits = lloyd.fit_all(rows, [PROFILE_CLUSTERS], restarts, SEED)
+        centers_ = fits[PROFILE_CLUSTERS][0] if fits else np.zeros((0, len(columns)))
+        points = _projected(_labelled(scaled, centers_), loadings, [*keep, "cluster"])
         importances = pca_loadings(filled, columns, summed=True)
-    centers = [(i, *map(float, c @ loadings)) for i, c in enumerate(np.asarray(model.clusterCenters()))]
+    centers = [(i, *map(float, c @ loadings)) for i, c in enumerate(centers_)]
     names = ", ".join(f"pc{j + 1} double" for j in range(loadings.shape[1]))
     return {
         "points": points,

@@ -1,6 +1,7 @@
 """Similarity graphs, clusterings and their evaluation."""
 
-from pyspark.sql import functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F
 
 from commitlore.operators import clusters, communities, neighbours, similarity
 from commitlore.operators.features import expanded_vector, feature_table
@@ -194,12 +195,28 @@ def _commit_vectors(spark, sf_dir):
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     vectors = clusters.as_vectors(_embeddings(spark, sf_dir), "embedding")
-    return clusters.kmeans_sweep(vectors, restarts=1)["scores"]
+    return clusters.kmeans_sweep(vectors)["scores"]
+
+
+@query("kmeans_settled", """SELECT count(*) AS "rows", 0 AS nearer_elsewhere, true AS centers_are_means, true AS more_clusters_less_inertia FROM embeddings""")
+def kmeans_settled(spark, sf_dir):
+    """The clustering of the best k: no row has a nearer centre, centres are the means of their rows; inertia falls as k grows."""
+    vectors = clusters.as_vectors(_embeddings(spark, sf_dir), "embedding").select("vec_id", "features")
+    found = clusters.kmeans_sweep(vectors)
+    rows = stage(found["labels"].select("vec_id", vector_to_array("features").alias("x"), "cluster"))
+    off = F.aggregate(F.zip_with("x", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    far = rows.crossJoin(F.broadcast(found["centers"].withColumnRenamed("cluster", "other"))).withColumn("d", off)  # ten centres at most
+    nearest = far.groupBy("vec_id").agg(F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("own"))
+    means = rows.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("mean"))
+    apart = means.join(found["centers"], "cluster").agg(F.max(F.abs(F.col("mean") - F.element_at("center", F.col("i") + 1))).alias("apart"))
+    falls = found["scores"].select((F.col("inertia") <= F.coalesce(F.lag("inertia").over(Window.orderBy("k")), F.col("inertia")) * 1.02).alias("falls"))
+    return nearest.agg(F.count("*").alias("rows"), F.sum((F.col("own") > F.col("least") + 1e-9).cast("int")).cast("int").alias("nearer_elsewhere")).crossJoin(
+        apart.select((F.col("apart") < 0.02).alias("centers_are_means"))).crossJoin(falls.agg(F.min("falls").alias("more_clusters_less_inertia")))
 
 
 @query("kmeans_commit_sizes")
 def kmeans_commit_sizes(spark, sf_dir):
-    return clusters.kmeans_sweep(_commit_vectors(spark, sf_dir), max_clusters=4, restarts=1)["sizes"]
+    return clusters.kmeans_sweep(_commit_vectors(spark, sf_dir))["sizes"]
 
 
 def _wide(spark, sf_dir):
@@ -227,4 +244,4 @@ def pca_loadings(spark, sf_dir):
 @query("fixed_kmeans_profile")
 def fixed_kmeans_profile(spark, sf_dir):
     df = commits(spark, sf_dir, "hash", "author", *_NUMBERS)
-    return clusters.fixed_kmeans_profile(df, _NUMBERS, restarts=1)["points"]
+    return clusters.fixed_kmeans_profile(df, _NUMBERS)["points"]
