@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from commitlore.functions.numbers import commit_size, commit_size_class, histogram_bin
 from commitlore.functions.text import directory, plain_extension
+from commitlore.operators.running import running_totals
 
 
 def basic_statistics(commits: DataFrame) -> DataFrame:
@@ -130,28 +131,7 @@ def daily_churn(commits: DataFrame, date_col: str = "committer_date") -> DataFra
 
 
 def cumulative_churn(commits: DataFrame, date_col: str = "committer_date") -> DataFrame:
-    """Running totals per project at each commit, in (date, hash) order.
-
-    A running sum over a whole project would be one task. It is put together from
-    totals of the hours before and the running sum inside the hour, so a window never
-    holds more than the commits of one project and hour.
-    """
-    dated = commits.filter(F.col(date_col).isNotNull()).select(
-        "project_name", "hash", F.col(date_col).alias("at"), F.date_trunc("hour", date_col).alias("hour"),
-        "insertions", "deletions",
-    )
-    hourly = dated.groupBy("project_name", "hour").agg(
-        F.sum("insertions").alias("i"), F.sum("deletions").alias("d")
-    )
-    before = W.partitionBy("project_name").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
-    offsets = hourly.select(
-        "project_name", "hour",
-        F.coalesce(F.sum("i").over(before), F.lit(0)).alias("i_before"),
-        F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d_before"),
-    )
-    inside = W.partitionBy("project_name", "hour").orderBy("at", "hash").rowsBetween(W.unboundedPreceding, 0)
-    return dated.join(offsets, ["project_name", "hour"]).select(
-        "project_name", "hash", F.col("at").alias(date_col),
-        (F.col("i_before") + F.sum("insertions").over(inside)).alias("cumulative_insertions"),
-        (F.col("d_before") + F.sum("deletions").over(inside)).alias("cumulative_deletions"),
-    )
+    """Running totals per project at each commit, in (date, hash) order; a project, or a moment, of any size is many tasks' work."""
+    dated = commits.filter(F.col(date_col).isNotNull()).select("project_name", "hash", date_col, "insertions", "deletions")
+    totals = {"cumulative_insertions": "insertions", "cumulative_deletions": "deletions"}
+    return running_totals(dated, ["project_name"], [date_col, "hash"], totals).drop("insertions", "deletions")

@@ -152,13 +152,20 @@ def _key(items):
     return F.concat_ws("\x01", items)
 
 
+#: Splits of a set that are made from one row: two to the power of this.
+MASK_BITS = 12
+
+
 def rule_support_lookup(itemsets: DataFrame) -> DataFrame:
-    """Every split of every set into two parts, with the support of the set and of both parts."""
+    """Every split of every set into two parts, with the support of the set and of both parts. A set holds 62 items at most."""
     supports = itemsets.select(_key("items").alias("_key"), F.col("support").alias("_support"))
-    splits = itemsets.filter("size >= 2").select(
-        "items", "support",
-        F.expr("explode(sequence(1L, shiftleft(1L, size) - 2L)) AS mask"),
+    # blocks of masks are dealt over tasks before they are opened: a long set is many blocks, and no array is longer than theirs
+    blocks = itemsets.filter("size >= 2").select(
+        "items", "support", "size", F.expr(f"explode(sequence(0L, shiftleft(1L, greatest(size - {MASK_BITS}, 0)) - 1L)) AS high")
     )
+    splits = blocks.repartition("items", "high").select(
+        "items", "support", "size", "high", F.expr(f"explode(sequence(0L, shiftleft(1L, least(size, {MASK_BITS})) - 1L)) AS low")
+    ).withColumn("mask", F.col("low") + F.shiftleft("high", MASK_BITS)).filter("mask > 0 and mask < shiftleft(1L, size) - 1L")
     # bit i of the mask puts item i among the antecedents
     sides = splits.select(
         "support",
@@ -219,13 +226,6 @@ def basket_totals(memberships: DataFrame) -> DataFrame:
     )
 
 
-def _counted_baskets(memberships: DataFrame, order=None) -> DataFrame:
-    """Equal baskets reduced to one row with their number: pairs are made once per kind."""
-    item = F.struct(order, "file") if order is not None else F.struct("file")
-    lists = memberships.groupBy("hash").agg(F.sort_array(F.collect_list(item)).alias("l"))
-    return lists.select(F.col("l.file").alias("files")).groupBy("files").agg(F.count("*").alias("n"))
-
-
 def cooccurrence_with_top(
     baskets: DataFrame, files: int = COOCCURRENCE_FILES, partners: int = COOCCURRENCE_PARTNERS,
 ) -> DataFrame:
@@ -254,22 +254,38 @@ def cooccurrence_with_top(
 
 # --- co-change pairs -----------------------------------------------------------
 
-# Files whose pairs stand in one row; a longer basket is cut into blocks, and each two of them make a row.
+# Files in a block of a commit: two blocks, or one with itself, make their pairs in one row.
 BLOCK_FILES = 256
 
 
+def _counted_baskets(mentions: DataFrame) -> DataFrame:
+    """(kind, n, files, block, blocks): equal lists of (hash, pos, file) reduced to one, `kind`, with their number n, in blocks.
+
+    Lists are equal if their files and places have equal sums of two hashes of 64 bits, so no list is gathered to
+    compare it; the one of the smallest hash stands for all. A block is a sorted array of BLOCK_FILES names at most.
+    """
+    placed = mentions.withColumn("place", F.row_number().over(W.partitionBy("hash").orderBy("pos", "file")) - 1)
+    digest = [F.sum(F.xxhash64("place", "file", F.lit(i)).cast("decimal(20,0)")).alias(f"digest{i}") for i in (1, 2)]
+    lists = placed.groupBy("hash").agg(F.count("*").alias("size"), *digest)
+    kinds = lists.groupBy("size", "digest1", "digest2").agg(F.min("hash").alias("hash"), F.count("*").alias("n"))
+    blocks = F.ceil(F.col("size") / BLOCK_FILES).cast("int")
+    held = placed.join(kinds.filter("size > 1").select("hash", "n", blocks.alias("blocks")), "hash")
+    return held.groupBy(F.col("hash").alias("kind"), "n", "blocks", F.floor(F.col("place") / BLOCK_FILES).cast("int").alias("block")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "file"))), lambda x: x["file"]).alias("files"))
+
+
 def _pairs_of(kinds: DataFrame, ordered: bool) -> DataFrame:
-    """Pair counts of baskets: the earlier file first, or the smaller name first."""
-    count = F.ceil(F.size("files") / BLOCK_FILES).cast("int")
-    blocks = (
-        kinds.filter(F.size("files") > 1).withColumn("blocks", count)
-        .select("n", "files", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
-        .select("n", "files", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
-        .select(
-            "n", F.expr(f"slice(files, i * {BLOCK_FILES} + 1, {BLOCK_FILES})").alias("heads"),
-            F.expr(f"slice(files, j * {BLOCK_FILES} + 1, {BLOCK_FILES})").alias("tails"), (F.col("i") == F.col("j")).alias("same"),
-        )
-    )
+    """Pair counts of baskets in blocks: the earlier file first, or the smaller name first.
+
+    A short basket makes its pairs where it stands. Of a longer one every two blocks make a row of their own, and these are
+    dealt over tasks before any pair is made, so one commit of many files is many tasks' work.
+    """
+    short = kinds.filter("blocks = 1").select("n", F.col("files").alias("heads"), F.col("files").alias("tails"), F.lit(True).alias("same"))
+    long = stage(kinds.filter("blocks > 1"))
+    left = long.select("kind", "n", F.col("block").alias("i"), F.col("files").alias("heads"))
+    right = long.select(F.col("kind").alias("_kind"), F.col("block").alias("j"), F.col("files").alias("tails"))
+    met = left.join(right, (F.col("kind") == F.col("_kind")) & (F.col("i") <= F.col("j"))).repartition("kind", "i", "j")
+    blocks = short.unionByName(met.select("n", "heads", "tails", (F.col("i") == F.col("j")).alias("same")))
     inside = F.expr(
         f"flatten(transform(heads, (a, k) -> transform(if(same, slice(tails, k + 2, {BLOCK_FILES}), tails), b -> struct(a, b))))"
     )
@@ -293,12 +309,12 @@ def co_change_pairs(files: DataFrame, min_support: float | None = None, ordered:
     bounds a commit's list by the mean list length over `min_support`.
     """
     if min_support is None:
-        return _pairs_of(_counted_baskets(_first_mentions(files), F.col("pos")), ordered)
+        return _pairs_of(stage(_counted_baskets(stage(_first_mentions(files)))), ordered)
     mentions = stage(_first_mentions(files))
     total = mentions.agg(F.count_distinct("hash")).scalar()
     needed = F.lit(min_support) * total
     frequent = mentions.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
-    kinds = _counted_baskets(_of_files(mentions, frequent), F.col("pos"))
+    kinds = stage(_counted_baskets(_of_files(mentions, frequent)))
     return _pairs_of(kinds, ordered).filter(F.col("commits") >= needed)
 
 
@@ -313,12 +329,12 @@ def top_pairs(files: DataFrame, limit: int = TOP_PAIRS, ordered: bool = True, se
         counts = mentions.groupBy("file").agg(F.count("*").alias("n"))
         for tried in (seeds, 16 * seeds):
             best = counts.orderBy(F.desc("n"), "file").limit(tried).select("file")
-            kinds = _counted_baskets(mentions.join(F.broadcast(best), "file", "left_semi"), F.col("pos"))
+            kinds = stage(_counted_baskets(mentions.join(F.broadcast(best), "file", "left_semi")))
             leading = _pairs_of(kinds, ordered).orderBy(F.desc("commits")).limit(limit)
             row = leading.agg(F.min("commits").alias("c"), F.count("*").alias("k")).first()
             bound = row["c"] if row["k"] == limit else 1
             if bound > 1:
                 break
         in_reach = _of_files(mentions, counts.filter(F.col("n") >= bound))
-        kinds = stage(_counted_baskets(in_reach, F.col("pos")))
+        kinds = stage(_counted_baskets(in_reach))
     return _pairs_of(kinds, ordered).orderBy(F.desc("commits"), "file_a", "file_b").limit(limit)

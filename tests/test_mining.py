@@ -59,6 +59,25 @@ def test_pairs_of_a_commit_of_several_blocks(spark):
     assert got == pair_counts([names, names[:2], names[:1]])
 
 
+def test_equal_lists_of_several_blocks_count_together(spark, monkeypatch):
+    monkeypatch.setattr(baskets, "BLOCK_FILES", 3)
+    names = [f"f{i}" for i in range(11)]
+    commits = [names, names, names[::-1], names[:4], ["only"], names[:2] * 2]
+    expected = {}
+    for commit in commits:
+        for a, b in itertools.combinations(list(dict.fromkeys(commit)), 2):
+            expected[(a, b)] = expected.get((a, b), 0) + 1
+    rows = baskets.co_change_pairs(files_of(spark, commits)).collect()
+    assert len(rows) == len(expected) and {(r["file_a"], r["file_b"]): r["commits"] for r in rows} == expected
+
+
+def test_a_commit_of_thousands_of_files(spark):
+    files = spark.range(2000).selectExpr("'big' as hash", "id as pos", "concat('f', id) as file").unionByName(
+        spark.createDataFrame([("a", 0, "f1"), ("a", 1, "f2"), ("b", 0, "f1"), ("b", 1, "f2")], "hash string, pos long, file string"))
+    assert baskets.co_change_pairs(files).count() == 2000 * 1999 // 2
+    assert [tuple(r) for r in baskets.top_pairs(files, 1).collect()] == [("f1", "f2", 3)]
+
+
 def test_fewer_pairs_than_asked_for(spark):
     files = files_of(spark, [["a", "b"], ["a", "b"], ["c"]])
     assert [tuple(r) for r in baskets.top_pairs(files).collect()] == [("a", "b", 2)]
@@ -83,7 +102,9 @@ def supports(commits):
     return out
 
 
-def test_itemsets_and_rules(spark):
+@pytest.mark.parametrize("bits", [12, 1])
+def test_itemsets_and_rules(spark, monkeypatch, bits):
+    monkeypatch.setattr(baskets, "MASK_BITS", bits)
     commits = some_commits(60)
     commits[0] += [".hidden", "dir/"]
     visible = [[f for f in c if f.startswith("f")] for c in commits]
@@ -106,6 +127,17 @@ def test_itemsets_and_rules(spark):
         assert r["leverage"] == pytest.approx(r["support"] - r["antecedent_support"] * r["consequent_support"])
 
 
+def test_splits_of_a_long_set_come_in_blocks(spark):
+    names = [f"f{i:02d}" for i in range(16)]
+    sets = [[n] for n in names] + [names]
+    found = spark.createDataFrame([(s, len(s), 1, 0.5) for s in sets], "items array<string>, size int, freq long, support double")
+    assert baskets.rule_support_lookup(found).count() == 0  # of both parts only one item each is known
+    all_sets = [list(c) for k in range(1, 15) for c in itertools.combinations(names[:14], k)]
+    found = spark.createDataFrame([(s, len(s), 1, 0.5) for s in all_sets if len(s) in (1, 13, 14)], "items array<string>, size int, freq long, support double")
+    longest = baskets.rule_support_lookup(found).filter("size(antecedents) + size(consequents) = 14")
+    assert longest.count() == 2 * 14
+
+
 def test_support_falls_back(spark):
     # no file in 1 % of the commits, but some in half a percent
     commits = [[f"n{i}", f"n{i + 1}"] for i in range(0, 600, 2)] + [["a", "b"], ["a", "b"]]

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from commitlore.operators import activity, commit_rollups, features, filters, quality, splits
+from commitlore.operators import activity, commit_rollups, features, filters, quality, running, splits
 from commitlore.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -130,6 +130,29 @@ def test_hashed_vocabulary(spark):
     assert not any([r for r in out if r["id"] == 99][0]["embedding"].toArray())
 
 
+def test_running_totals_of_hot_groups(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"g": rng.choice(["a", "a", "a", "b", None], 900), "at": rng.integers(0, 3, 900), "id": [str(i) for i in range(900)],
+                          "x": pd.array(rng.integers(0, 9, 900), dtype="Int64")})
+    frame.loc[::7, "x"] = pd.NA
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "g string, at long, id string, x long")
+    got = {r["id"]: r["total"] for r in running.running_totals(df, ["g"], ["at", "id"], {"total": "x"}).collect()}
+    ordered = frame.sort_values(["at", "id"])
+    want = ordered.assign(x=ordered["x"].fillna(0)).groupby(ordered["g"].fillna("none"))["x"].cumsum()
+    assert got == dict(zip(ordered["id"], want))
+    assert running.running_totals(df.filter("x > 100"), ["g"], ["at", "id"], {"total": "x"}).collect() == []
+
+
+def test_quantiles_of_many_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 200, 3000), rng.normal(0, 1, 3000).round(1))] + [(None, 1.0), (None, 4.0), (500, None), (501, 7.0)]
+    found = running.group_quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()
+    assert len(found) == len({g for g, _ in rows})
+    for r in found:
+        values = [v for g, v in rows if g == r["g"] and v is not None]
+        assert [r[f"q{i}"] for i in range(4)] == (pytest.approx(list(np.quantile(values, [0.0, 0.3, 0.5, 1.0]))) if values else [None] * 4)
+
+
 def bits(key, seed=42):
     return int(hashlib.md5(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:15], 16)
 
