@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlore.llm.common import encoded, extended, plain_words, small_batches, worker_cache
+from commitlore.llm.common import encoded, plain_words, shielded, worker_cache
 
 WINDOW = 13
 #: Characters of benchmark text up to which one automaton stands in each Python worker (about 100 bytes of memory each).
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             out["hit_spans"] = [_spans(t, hit) if hit.any() else [] for t, (hit, _) in zip(frame["text"], hits, strict=True)]
             yield out
 
-    return small_batches(kept).mapInPandas(find, extended(kept, **added))
+    return shielded(kept, find, **added)
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlore.llm.common import buffered, encoded, extended, mix64, shuffle_partitions, small_batches
+from commitlore.llm.common import buffered, encoded, mix64, shielded, shuffle_partitions, small_batches
 from commitlore.session import stage
 
 WINDOW = 64
@@ -222,7 +222,7 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
             out["fingerprint"] = digests(encoded(frame["text"]), ranks)
             yield out
 
-    return small_batches(kept).mapInPandas(digest, extended(kept, fingerprint="string"))
+    return shielded(kept, digest, fingerprint="string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -241,11 +241,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         # ranges of descending ids: how many bounds are above the id; a null comes last of all
         import pandas as pd
 
-        at = np.searchsorted(-np.array(bounds, np.int64), -ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(ids.isna(), len(bounds) + 1, at))
+        known = np.array([0 if i is None else int(i) for i in ids], np.int64)
+        at = np.searchsorted(np.array(bounds[::-1], np.int64), known, side="right")
+        return pd.Series(np.where(ids.isna(), len(bounds) + 1, len(bounds) - at))
 
     number.__annotations__ = {}
-    ranged = own.withColumn("range", F.pandas_udf(number, "int")("doc_id")).withColumn("h", F.xxhash64("text"))
+    ranged = own.withColumn("range", F.pandas_udf(number, "int")(F.col("doc_id").cast("string"))).withColumn("h", F.xxhash64("text"))
     heads = stage(
         ranged.groupBy("range").agg(F.max(F.struct("doc_id", F.col("h"))).alias("head")).select("range", "head.doc_id", "head.h")
     )  # one row a range
@@ -273,7 +274,8 @@ def neighbours(docs: DataFrame, ranks: np.ndarray | None = None, share: int = 3)
     rows = with_next(docs)
     parts = shuffle_partitions(docs.sparkSession)
     sorted_rows = rows.repartition(parts, "range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
-    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    sorted_rows = sorted_rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # a frame with a null would hold numbers as floats
+    columns = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(frames):
         import pandas as pd
@@ -294,10 +296,10 @@ def neighbours(docs: DataFrame, ranks: np.ndarray | None = None, share: int = 3)
             prints = digests(encoded(text), ranks)
             changed = digests(raw, ranks)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].iloc[mine].astype("Int64").to_numpy(), "n_chars": [len(text[i]) for i in mine],
+                "doc_id": frame["doc_id"].iloc[mine].to_numpy(), "n_chars": [len(text[i]) for i in mine],
                 "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw], "fingerprint": [prints[i] for i in mine],
                 "edited_fingerprint": changed, "near_edited": likeness([prints[i] for i in mine], changed),
                 "near_next": likeness([prints[i] for i in mine], [prints[i + 1] for i in mine]),
             })
 
-    return small_batches(sorted_rows).mapInPandas(compare, columns)
+    return small_batches(sorted_rows).mapInPandas(compare, columns).withColumn("doc_id", F.col("doc_id").cast("long"))

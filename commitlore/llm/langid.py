@@ -11,14 +11,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlore.llm.common import encoded, extended, ragged, sampled_texts, small_batches
+from commitlore.llm.common import encoded, ragged, sampled_texts, shielded
 
 #: Bytes of a segment; states start anew at each, so that long texts are many short chains.
 SEGMENT = 48
 #: Bytes scored at a time, and segments: what a task holds beside its batch.
 BLOCK = 2048
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = r"\p{L}"
 
 
 def _gate(x):
@@ -202,7 +202,7 @@ def fit_languages(docs: DataFrame, where=None, max_rows: int = 1500, **settings)
 
     Rows without text, language or letter are left out. With no row at all the model knows no language.
     """
-    rows = docs.filter(F.col("text").rlike(r"\p{L}"))
+    rows = docs.filter(F.col("text").rlike(_LETTER))
     rows = sampled_texts(rows if where is None else rows.filter(where), "lang", max_rows)
     return fit([text for text, _ in rows], [lang for _, lang in rows], **settings)
 
@@ -217,11 +217,13 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
     kept = docs.drop("lang_pred", "score")
 
     def predict(batches):
-        fitted = weights.value
+        import regex
+
+        fitted, letter = weights.value, regex.compile(_LETTER).search
         for frame in batches:
             texts = frame["text"].tolist()
             p = document_probabilities(encoded(texts), fitted)
-            known = np.array([bool(fitted["classes"]) and isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], bool)
+            known = np.array([bool(fitted["classes"]) and isinstance(t, str) and bool(letter(t)) for t in texts], bool)
             best = p.argmax(1) if len(frame) else np.zeros(0, int)
             out = frame[outside]
             out["lang_pred"] = [fitted["classes"][b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -229,4 +231,4 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
             yield out
 
     outside = list(kept.columns)
-    return small_batches(kept).mapInPandas(predict, extended(kept, lang_pred="string", score="double"))
+    return shielded(kept, predict, lang_pred="string", score="double")

@@ -131,7 +131,7 @@ def _values(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64)
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()),
+SIGNED = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("tie", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()),
                        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
 
@@ -148,12 +148,13 @@ def signed(docs: DataFrame) -> DataFrame:
             bands = band_keys(dart_signatures(element, np.ones(len(element)), owner, n)).astype(np.int64)
             sizes = np.bincount(owner, minlength=n)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"], "row": frame["row"], "node": keys.astype(np.int64),
+                "doc_id": frame["doc_id"], "tie": frame["tie"], "row": frame["row"], "node": keys.astype(np.int64),
                 "bands": [b if size else None for b, size in zip(bands, sizes, strict=True)], "size": sizes,
             })
 
-    rows = docs.select(F.col("doc_id").cast("long"), _tie().alias("tie"), _row().alias("row"), "text")
-    return small_batches(rows).mapInPandas(sign, SIGNED)
+    # ids pass as text: a frame with a null would hold numbers as floats
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), _tie().alias("tie"), _row().alias("row"), "text")
+    return small_batches(rows).mapInPandas(sign, SIGNED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:

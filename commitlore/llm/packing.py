@@ -11,6 +11,7 @@ from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitlore.llm.common import small_batches
@@ -157,9 +158,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, row_tokens: int = ROW_TO
 
         held, size = [], 0
         for frame in batches:
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"], strict=True):
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 ids = tokens.encode(text if isinstance(text, str) else "")
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc_id = None if doc_id is None else int(doc_id)
                 held.extend((doc_id, k, ids[i : i + row_tokens]) for k, i in enumerate(range(0, len(ids), row_tokens)))
                 size += len(ids)
                 if size >= buffer_tokens:
@@ -168,7 +169,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, row_tokens: int = ROW_TO
         if held:
             yield packed(held)
 
-    return small_batches(docs.select("doc_id", "text")).mapInPandas(rows, PACKED)
+    # ids pass as text: a frame with a null would hold numbers as floats
+    return small_batches(docs.select(F.col("doc_id").cast("string"), "text")).mapInPandas(rows, PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

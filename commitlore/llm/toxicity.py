@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlore.llm.common import buffered, encoded, extended, plain_words, ragged, sampled_texts, small_batches
+from commitlore.llm.common import buffered, encoded, plain_words, ragged, sampled_texts, shielded
 
 #: Tokens of a training segment.
 STEPS = 24
@@ -240,4 +240,4 @@ def toxic_scores(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFr
             out["toxic_spans"] = spans
             yield out
 
-    return small_batches(kept).mapInPandas(score, extended(kept, score="double", toxic_spans=span))
+    return shielded(kept, score, score="double", toxic_spans=span)
