@@ -14,8 +14,9 @@ LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, which becomes their `lang`; texts that are null or have no letter go."""
     model = langid.fit_languages(docs, fold("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT)
-    kept = langid.languages(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c != "text"})  # whatever their names, columns stay
+    kept = langid.languages(own, model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.select(*(F.col({"text": "text", "lang": "lang_pred"}.get(c, f"_own_{c}")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
