@@ -84,12 +84,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     shared = [context.broadcast(b) for b in _blocks(benchmark, most_chars)]
 
     def machine(k):
-        cache, key = worker_cache(), ("automaton", call, k)
-        if key not in cache:
-            if len(shared) > 1 or len(cache) > 4:
-                cache.clear()
-            cache[key] = _automaton(shared[k].value, window)
-        return cache[key]
+        # one automaton a worker: that of an earlier call, or of another block, goes before the next is built
+        cache, key = worker_cache(), (call, k)
+        if cache.get("automaton", (None,))[0] != key:
+            cache.pop("automaton", None)
+            cache["automaton"] = (key, _automaton(shared[k].value, window))
+        return cache["automaton"][1]
 
     def find(batches):
         for frame in batches:
