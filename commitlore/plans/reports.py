@@ -6,6 +6,7 @@ from commitlore.operators import (
     activity, baskets, clusters, features, filters, impact, metrics, models, neighbours, network, profile, quality, similarity,
 )
 from commitlore.operators.communities import graph_communities
+from commitlore.operators.mentions import COMMAS, known_changes
 from commitlore.schema import DMM_COLUMNS
 from commitlore.session import stage
 
@@ -94,8 +95,9 @@ def activity_report(commits: DataFrame, file_changes: DataFrame | None = None, p
         if len(columns) >= 2:
             keep = [c for c in ("hash", "author") if c in has]
             report.update({f"profile_{k}": v for k, v in clusters.fixed_kmeans_profile(commits, columns, keep).items()})
-    if file_changes is not None:
-        report.update(file_modification_report(file_changes, commits))
+    changes = known_changes(commits, file_changes, COMMAS)
+    if changes is not None:
+        report.update(file_modification_report(changes, commits, "filename" if file_changes is not None else "path"))
     return report
 
 
@@ -210,15 +212,19 @@ def analyze_commits(
     with_clusters: bool = True, with_models: bool = True, embed_messages: bool = True,
     cluster_options: dict | None = None, model_options: dict | None = None,
 ) -> dict:
-    """Quality on raw and on scaled values, rules, clusters and models of one commit table."""
+    """Quality on raw and on scaled values, rules, clusters and models of one commit table.
+
+    Without file changes, rules are mined from the files that the commits' rows list themselves.
+    """
     raw = stage(commits)
     scaled = stage(features.feature_table(raw, embed_messages=embed_messages, keep_hash=True))
     report = {"profile": profile.profile_table(raw)}
     if with_quality:
         report["quality_raw"] = quality_report(raw)
         report["quality_scaled"] = quality_report(scaled)
-    if with_rules and file_changes is not None:
-        report["associations"] = mine_associations(file_changes)
+    changes = known_changes(raw, file_changes)
+    if with_rules and changes is not None:
+        report["associations"] = mine_associations(changes)
     if with_clusters:
         report["clusters"] = cluster_analysis(scaled, **(cluster_options or {}))
     if with_models:
@@ -239,6 +245,7 @@ def analyze_repository(
         **analyze_commits(commits, file_changes, model_options=model_options, **steps),
     }
     options = model_options or {}
+    file_changes = known_changes(commits, file_changes)
     if with_risk:
         report["risk"] = risk_report(commits, **options)
     if target_file and file_changes is not None and "associations" in report:

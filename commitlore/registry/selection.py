@@ -114,11 +114,17 @@ def class_distribution(spark, sf_dir):
 
 
 @query("class_size_guard", f"""WITH {COMMITS},
-c AS (SELECT project_name, branches, count(*) AS n FROM commits GROUP BY 1, 2)
-SELECT project_name, count(*) AS classes, min(n) AS fewest, count(*) >= 2 AND min(n) >= 2 AS trainable FROM c GROUP BY 1""")
+r AS (SELECT unnest(['branches', 'hash', 'kind', 'none']) AS label, unnest([branches, hash, 'same', NULL]) AS class FROM commits),
+c AS (SELECT label, class, count(*) AS n FROM r WHERE class IS NOT NULL GROUP BY 1, 2)
+SELECT l AS label, CASE WHEN count(class) < 2 THEN 'only one class' WHEN min(n) < 2 THEN 'a class has fewer than 2 rows' END AS reason
+FROM unnest(['branches', 'hash', 'kind', 'none']) t(l) LEFT JOIN c ON l = label GROUP BY 1""")
 def class_size_guard(spark, sf_dir):
-    counts = commits(spark, sf_dir, "project_name", "branches").groupBy("project_name", "branches").count()
-    return counts.groupBy("project_name").agg(
-        F.count("*").alias("classes"), F.min("count").alias("fewest"),
-        ((F.count("*") >= 2) & (F.min("count") >= 2)).alias("trainable"),
-    )
+    df = commits(spark, sf_dir, "branches", "hash").withColumn("kind", F.lit("same")).withColumn("none", F.lit(None).cast("string"))
+    return spark.createDataFrame([(c, filters.class_size_guard(df, c)) for c in df.columns], "label string, reason string")
+
+
+@query("min_rows_guard", f"""WITH {COMMITS}, n AS (SELECT count(*) AS n FROM commits)
+SELECT needed, CASE WHEN n < needed THEN 'only ' || n || ' rows, ' || needed || ' needed' END AS reason FROM n, unnest([10, 100000000]) t(needed)""")
+def min_rows_guard(spark, sf_dir):
+    df = commits(spark, sf_dir, "hash")
+    return spark.createDataFrame([(n, filters.min_rows_guard(df, n)) for n in (10, 100_000_000)], "needed int, reason string")

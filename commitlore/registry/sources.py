@@ -2,33 +2,75 @@
 
 from pyspark.sql import functions as F
 
+from commitlore.operators import baskets as mined, mentions
 from commitlore.operators.filters import filter_by_repo_config
 from commitlore.plans import reports
 from commitlore.registry import activity, baskets, quality  # noqa: F401  their SQL is put together below
 from commitlore.registry.base import COMMITS, COMMITS_WITH_ROLLUPS, FILE_CHANGES, SQL, query, rounded
-from commitlore.schema import DMM_COLUMNS
+from commitlore.schema import COMMIT_COLUMNS, DMM_COLUMNS
 from commitlore.session import fresh_path
 from commitlore.sources import commits as commit_files, configs, results
 from commitlore.sources.sample_views import VIEW_COLUMNS, commits, file_changes, table
 from commitlore.streaming import activity as stream_act, ingest
 
-_SHOWN = ["hash", "msg", "author", "author_date", "committer_date", "merge", "parents", "project_name", "insertions", "files", "dmm_unit_size"]
-_READ_BACK = f"""WITH {COMMITS}
-SELECT hash, msg, author, author_date, committer_date, merge, parents, project_name, insertions, files, dmm_unit_size FROM commits"""
+# A commit's files as an export prints them.
+_LISTS = """lists AS (SELECT hash, '[''' || string_agg(path, ''', ''' ORDER BY pos) || ''']' AS modified_files FROM file_changes GROUP BY 1)"""
+
+
+def _exports(spark, sf_dir):
+    """The commit view with the four columns it lacks: zones, the printed list of files, and a path."""
+    paths = F.transform(F.sort_array(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"])
+    lists = file_changes(spark, sf_dir).groupBy("hash").agg(F.concat(F.lit("['"), F.array_join(paths, "', '"), F.lit("']")).alias("modified_files"))
+    number = F.col("hash").cast("long")
+    return commits(spark, sf_dir, *VIEW_COLUMNS).join(lists, "hash", "left").select(
+        "*", (number % 24 * 3600 - 43200).cast("int").alias("author_timezone"), F.when(number % 5 != 0, number % 12 * 3600).cast("int").alias("committer_zone"),
+        F.concat(F.lit("/repositories/"), "project_name").alias("project_path")).select(*COMMIT_COLUMNS)
+
+
+_READ_BACK = f"""WITH {COMMITS_WITH_ROLLUPS},{_LISTS}
+SELECT hash, msg, author, committer, author_date, (o_orderkey % 24 * 3600 - 43200)::INT AS author_timezone, committer_date,
+       CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 12 * 3600)::INT END AS committer_zone, branches, in_main_branch, merge, modified_files, parents, project_name,
+       '/repositories/' || project_name AS project_path, deletions, insertions, lines, files, dmm_unit_size, dmm_unit_complexity, dmm_unit_interfacing,
+       main_file_type, main_change_type
+FROM full_commits LEFT JOIN lists USING (hash)"""
 
 
 @query("commits_by_csv", _READ_BACK)
 def commits_by_csv(spark, sf_dir):
     path = fresh_path(spark, "commits-csv")
-    commit_files.write_commits(commits(spark, sf_dir, *_SHOWN), path, "csv")
-    return commit_files.read_commits(spark, path).select(*_SHOWN)
+    commit_files.write_commits(_exports(spark, sf_dir), path, "csv")
+    return commit_files.read_commits(spark, path).select(*COMMIT_COLUMNS)
 
 
 @query("commits_by_parquet", _READ_BACK)
 def commits_by_parquet(spark, sf_dir):
     path = fresh_path(spark, "commits-parquet")
-    commit_files.write_commits(commits(spark, sf_dir, *_SHOWN), path)
-    return commit_files.union_repositories(spark, [path]).select(*_SHOWN)
+    commit_files.write_commits(_exports(spark, sf_dir), path)
+    return commit_files.union_repositories(spark, [path]).select(*COMMIT_COLUMNS)
+
+
+_MENTIONS = """SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY pos) - 1 AS pos, path, filename FROM file_changes"""
+
+
+@query("file_mentions", f"WITH {FILE_CHANGES} {_MENTIONS}")
+def file_mentions(spark, sf_dir):
+    """From an export's lists to its files."""
+    path = fresh_path(spark, "commits-csv")
+    commit_files.write_commits(_exports(spark, sf_dir), path, "csv")
+    return mentions.file_mentions(commit_files.read_commits(spark, path))
+
+
+@query("file_mentions_by_commas", f"WITH {FILE_CHANGES} {_MENTIONS}")
+def file_mentions_by_commas(spark, sf_dir):
+    inside = F.regexp_replace("modified_files", r"^\['|'\]$", "")
+    rows = _exports(spark, sf_dir).withColumn("modified_files", F.regexp_replace(inside, "', '", " , "))
+    return mentions.file_mentions(rows, mentions.COMMAS)
+
+
+@query("baskets_of_export", SQL["file_baskets"])
+def baskets_of_export(spark, sf_dir):
+    found = mentions.file_mentions(_exports(spark, sf_dir))
+    return mined.file_baskets(found).withColumn("files", F.concat_ws("|", "files"))
 
 
 @query("union_repositories", f"WITH {COMMITS} SELECT hash, project_name, author, CASE WHEN branches = 'BUILDING' THEN NULL ELSE insertions END AS insertions FROM commits")

@@ -9,12 +9,13 @@ SMALL_BATCH = 1_000_000
 
 
 def new_commits(incoming: DataFrame, existing: DataFrame | None, small: int = SMALL_BATCH) -> DataFrame:
-    """Incoming commits whose hash the table lacks, each once.
+    """Incoming commits whose hash the table lacks, each once: of rows that differ the one whose contents hash least, whatever their order.
 
     A small batch is broadcast to find the hashes the table has, so the table is read
     in one column and not shuffled. A large one is an ordinary anti-join.
     """
-    incoming = incoming.dropDuplicates(["hash"])
+    whole = F.struct(*incoming.columns)
+    incoming = incoming.groupBy(F.col("hash").alias("_hash")).agg(F.min_by(whole, F.struct(F.xxhash64(whole), F.to_json(whole))).alias("_row")).select("_row.*")
     if existing is None:
         return incoming
     known = existing.select("hash")

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from commitlore.operators import filters
+from commitlore.operators import filters, mentions
 from commitlore.schema import COMMIT_COLUMNS
 from commitlore.sources import commits, configs, results
 from commitlore.streaming import activity, ingest
@@ -130,3 +130,31 @@ def test_late_events_update_their_window(spark, tmp_path):
         activity.stream_activity(stream, out, str(tmp_path / "checkpoint"), "at", ["project"]).awaitTermination()
     got = {r["window_start"].day: r["commits"] for r in activity.read_activity(spark, out, ["project"]).collect()}
     assert got == {1: 2, 3: 1}
+
+
+def test_file_mentions(spark):
+    cells = [("a", "['src/a.py', 'b.py', 'src/a.py']"), ("b", "one, two.py"), ("c", None), ("d", ""), ("e", "['broken"), ("f", "[]"), ("g", "['x', None]")]
+    df = spark.createDataFrame(cells, "hash string, modified_files string")
+    got = sorted(tuple(r) for r in mentions.file_mentions(df).collect())
+    assert [r for r in got if r[0] in "ab"] == [("a", 0, "src/a.py", "a.py"), ("a", 1, "b.py", "b.py"), ("a", 2, "src/a.py", "a.py"), ("b", 0, "one, two.py", "one, two.py")]
+    by_commas = sorted(tuple(r) for r in mentions.file_mentions(df, mentions.COMMAS).collect())
+    assert [r for r in by_commas if r[0] == "b"] == [("b", 0, "one", "one"), ("b", 1, "two.py", "two.py")]
+    assert not {r[0] for r in got + by_commas} & {"c", "d", "f"}
+    arrays = spark.createDataFrame([("a", ["x/y", None, "z"])], "hash string, modified_files array<string>")
+    assert sorted(tuple(r) for r in mentions.file_mentions(arrays).collect()) == [("a", 0, "x/y", "y"), ("a", 2, "z", "z")]
+    assert mentions.file_mentions(df.filter("false")).collect() == []
+    assert mentions.known_changes(df.drop("modified_files"), None) is None and mentions.known_changes(df, df) is df
+
+
+def test_repository_that_cannot_be_read_is_named(spark, tmp_path):
+    missing = str(tmp_path / "none")
+    left_out = []
+    with pytest.warns(UserWarning, match="none"):
+        assert commits.union_repositories(spark, [missing], left_out).collect() == []
+    assert left_out == [missing]
+
+
+def test_of_repeated_hashes_the_same_row_is_taken(spark):
+    rows = [("h", f"message {i}", i) for i in range(20)]
+    found = {ingest.new_commits(spark.createDataFrame(order, "hash string, msg string, n int").repartition(k), None).first() for order in (rows, rows[::-1]) for k in (1, 5)}
+    assert len(found) == 1
