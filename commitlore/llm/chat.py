@@ -5,9 +5,11 @@ turns are. Turns are written into a template whose marks are escaped inside text
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 #: Marks of the template.
@@ -165,10 +167,46 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumn("read_turns", turns).withColumn("loss_texts", said)
 
 
+def schema_paths(kind: T.DataType) -> str:
+    """The nested field names of a column's type, written as `field_paths` writes those of a JSON record."""
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{schema_paths(kind.elementType)}>"
+    if not isinstance(kind, T.StructType):
+        return ""
+    inner = {f.name: schema_paths(f.dataType) for f in kind}
+    return f"OBJECT<{', '.join(name + (': ' + below if below else '') for name, below in sorted(inner.items()))}>"
+
+
+def canonical_structs(records: DataFrame, column: str = "record") -> DataFrame:
+    """`records` with layout and turns, from a nested column in place of JSON text.
+
+    The fingerprint of the column's field paths selects the layout, as `canonical` does for JSON; a column whose paths are those of no
+    layout has a null layout and no turns, and so has a null record. Null roles and texts are empty.
+    """
+    paths, value = schema_paths(records.schema[column].dataType), F.col(column)
+    by_print = F.create_map(*(F.lit(x) for p in LAYOUTS for x in (_sha(_nested(p.paths)), p.name)))
+    named = records.withColumn("layout", F.when(value.isNotNull(), by_print[fingerprint(F.lit(paths))]))
+
+    def turns(layout: Layout) -> Column:
+        if layout.path:
+            return F.transform(reduce(lambda v, step: v[step], layout.path.split("."), value), lambda t: _turn(t[layout.role], t[layout.text]))
+        said = lambda path: F.concat_ws("\n", *(F.when(value[f] != "", value[f]) for f in path.split("+")))
+        return F.array(*(F.struct(F.lit(role).alias("role"), said(path).alias("text")) for path, role in layout.fields))
+
+    fitting = [p for p in LAYOUTS if _nested(p.paths) == paths]  # only their fields are in the column
+    made = [F.when(F.col("layout") == p.name, turns(p)).cast(TURNS) for p in fitting]
+    return named.withColumn("turns", F.coalesce(*made, F.array().cast(TURNS)))
+
+
 def rows_to_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, layout and turns, as `canonical` gives them for `rows_to_records`, without a way through JSON and its parser's limits."""
-    messages = F.transform(_ordered(), lambda t: _turn(t["role"], t["content"]))
-    return rows.groupBy("conv_id").agg(F.lit("messages").alias("layout"), messages.cast(TURNS).alias("turns"))
+    """conv_id, layout and turns, as `canonical` gives them for `rows_to_records`, without a way through JSON and its parser's limits.
+
+    Rows of a conversation become one nested record, whose fingerprint selects the layout. A null conv_id is one conversation, an
+    empty table gives no rows, other columns are ignored.
+    """
+    messages = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    records = rows.groupBy("conv_id").agg(_ordered().alias("all")).select("conv_id", F.struct(messages.alias("messages")).alias("record"))
+    return canonical_structs(records).select("conv_id", "layout", "turns")
 
 
 def _ordered() -> Column:
