@@ -1,13 +1,16 @@
 """Reading, writing, ingest and streams."""
 
+import csv
+import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from commitlore.operators import filters, mentions
 from commitlore.schema import COMMIT_COLUMNS
-from commitlore.sources import commits, configs, results
+from commitlore.sources import commits, configs, quoted_lines, results
 from commitlore.streaming import activity, ingest
 
 HEADER = ",".join(COMMIT_COLUMNS)
@@ -158,3 +161,41 @@ def test_of_repeated_hashes_the_same_row_is_taken(spark):
     rows = [("h", f"message {i}", i) for i in range(20)]
     found = {ingest.new_commits(spark.createDataFrame(order, "hash string, msg string, n int").repartition(k), None).first() for order in (rows, rows[::-1]) for k in (1, 5)}
     assert len(found) == 1
+
+
+@pytest.mark.parametrize("block", [40, 1 << 20])
+@pytest.mark.parametrize("seed", range(2))
+def test_records_of_split_files(spark, tmp_path, block, seed):
+    """Against a plain CSV reader: blocks of a few bytes cut cells, quotes and line breaks anywhere."""
+    rng = random.Random(seed)
+    rows = [["".join(rng.choice(['a', ',', '"', "\n", "\r\n", "é", " "]) for _ in range(rng.randrange(9))) for _ in range(3)] for _ in range(30)]
+    rows += [["x", 'inch 5" disk', "z"], ["long", "line\n" * 40, "end"]]
+    rng.shuffle(rows)
+    rows.insert(0, ["h1", "h2", "h3"])
+    text = io.StringIO()
+    for row in rows:  # a quote inside a cell without quotes is a plain character
+        stray = row[1] == 'inch 5" disk'
+        text.write(",".join(row) + "\n") if stray else csv.writer(text, lineterminator="\n", quoting=rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])).writerow(row)
+    (tmp_path / "a.csv").write_bytes(text.getvalue().encode())
+    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbfh1,h2\n1,2")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = quoted_lines.csv_records(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [r for r in csv.reader(io.StringIO(text.getvalue(), newline="")) if r]
+    got = [next(csv.reader(io.StringIO(r["record"], newline=""))) for r in found]
+    assert sorted(got) == sorted(wanted + [["h1", "h2"], ["1", "2"]])
+    assert sorted(r["record"] for r in found if r["header"]) in (["h1,h2", "h1,h2,h3"], ['"h1","h2","h3"', "h1,h2"])
+
+
+def test_quote_that_is_never_closed(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'h\n"a\nb"\n"open\nc\n\nd')
+    found = quoted_lines.csv_records(spark, path)
+    assert sorted(r["record"] for r in found.collect()) == ['"a\nb"', '"open', "c", "d", "h"]
+    assert found.filter("header").first()["record"] == "h"
+
+
+def test_other_header_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="not the header"):
+        commits.read_commits(spark, write(tmp_path / "a.csv", "a,b\n1,2\n")).collect()
