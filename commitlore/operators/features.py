@@ -5,7 +5,7 @@ the transform as literals; the transforms are plain projections.
 """
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from commitlore.functions.dates import calendar_features, commit_time
@@ -13,6 +13,7 @@ from commitlore.functions.numbers import (
     bool_to_int, churn_ratio, known, net_lines, parent_count, quartile_band, safe_numeric,
 )
 from commitlore.functions.text import msg_length, msg_word_count, tokenize_message
+from commitlore.operators import embeddings
 from commitlore.operators.filters import correlations, project_model_columns
 from commitlore.operators.quantiles import exact_quantiles
 from commitlore.operators.splits import kfold, train_test_split  # noqa: F401
@@ -24,6 +25,8 @@ from commitlore.session import reused, stage
 # Reach of the outlier fences, embedding settings, columns to standardise.
 FENCE_REACH = 1.5
 EMBEDDING = {"size": 50, "window": 5, "min_count": 1, "passes": 5}
+#: How word vectors are made.
+COOCCURRENCE, WORD2VEC = "cooccurrence", "word2vec"
 STANDARDIZED_COLUMNS = [
     *SIZE_COLUMNS, *DMM_COLUMNS, "msg_length", "msg_word_count",
     "author_date_year", "author_date_month", "author_date_day", "author_date_hour",
@@ -200,37 +203,33 @@ def dmm_score(df: DataFrame, columns=DMM_COLUMNS) -> DataFrame:
 # --- message embeddings --------------------------------------------------------
 
 
-def message_embeddings(
-    df: DataFrame, column: str = "msg", seed: int = 42, partitions: int = 8,
-    max_vocabulary: int = 1 << 18,
-) -> DataFrame:
+def message_embeddings(df: DataFrame, column: str = "msg", seed: int = 42, partitions: int = 8, method: str = COOCCURRENCE) -> DataFrame:
     """Adds `embedding`, the mean of the word vectors of a message; zeros without words.
 
-    Training keeps the vocabulary on the driver, so its size is checked: beyond
-    `max_vocabulary` words are trained as that many hash buckets, none left out.
+    The caller chooses the method, never the size: "cooccurrence" factorises the table of words near each other and holds no
+    vocabulary on the driver; "word2vec" trains skip-grams and holds all words there, so the caller vouches for their number.
     """
+    size, window = EMBEDDING["size"], EMBEDDING["window"]
+    if method == COOCCURRENCE:
+        weights = embeddings.information_weights(stage(embeddings.cooccurrences(df, column, window)))
+        vectors, _ = embeddings.factorised(weights, size, seed)
+        out = embeddings.mean_vectors(df, column, vectors, size)
+        return out.withColumn("embedding", array_to_vector("embedding"))
+    if method != WORD2VEC:
+        raise ValueError(f"unknown method {method}")
     tokens = df.withColumn("_tokens", tokenize_message(column))
     with reused(tokens.select("_tokens")) as sentences:
-        distinct = sentences.select(F.explode("_tokens").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-
-        def bucketed(t):
-            return F.pmod(F.xxhash64(t), F.lit(max_vocabulary)).cast("string")
-
-        hashed = distinct > max_vocabulary
-        if hashed:
-            tokens = tokens.withColumn("_tokens", F.transform("_tokens", bucketed))
-            sentences = tokens.select("_tokens")
         model = Word2Vec(
-            vectorSize=EMBEDDING["size"], windowSize=EMBEDDING["window"], minCount=EMBEDDING["min_count"],
+            vectorSize=size, windowSize=window, minCount=EMBEDDING["min_count"],
             numPartitions=partitions, maxIter=EMBEDDING["passes"], seed=seed, inputCol="_tokens", outputCol="embedding",
         ).fit(sentences)
     return model.transform(tokens).drop("_tokens")
 
 
 def expanded_vector(df: DataFrame, column: str, prefix: str, size: int) -> DataFrame:
-    """One column per vector element."""
-    arr = vector_to_array(F.col(column))
-    return df.select("*", *[F.get(arr, F.lit(i)).alias(f"{prefix}{i}") for i in range(size)]).drop(column)
+    """One column per vector element; the vector is opened once a row."""
+    opened = df.withColumn("_elements", vector_to_array(F.col(column))).drop(column)
+    return opened.select("*", *[F.get("_elements", F.lit(i)).alias(f"{prefix}{i}") for i in range(size)]).drop("_elements")
 
 
 # --- the whole table -----------------------------------------------------------

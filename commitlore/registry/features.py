@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from commitlore.operators import features
+from commitlore.operators import embeddings, features
 from commitlore.registry.base import COMMITS, COMMITS_WITH_ROLLUPS, query, rounded
 from commitlore.schema import DMM_COLUMNS, SIZE_COLUMNS
 from commitlore.session import stage
 from commitlore.sources.sample_views import VIEW_COLUMNS, commits, table
 
+_WORD = r"[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NUMBERS = [*SIZE_COLUMNS, *DMM_COLUMNS]
 _FILLED = ", ".join(f"cast(coalesce({c}, 0) AS double) AS {c}" for c in _NUMBERS)
 
@@ -100,7 +101,6 @@ def impute_median(spark, sf_dir):
     return rounded(features.impute_median(commits(spark, sf_dir, "hash", *DMM_COLUMNS), DMM_COLUMNS), *DMM_COLUMNS)
 
 
-_WORD = r"[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _DATE_PARTS = ["year", "month", "day", "hour"]
 _DERIVED = [f"{d}_{p}" for d in ("author_date", "committer_date") for p in _DATE_PARTS]
 _SCALED = [
@@ -130,13 +130,48 @@ def feature_table(spark, sf_dir):
     return rounded(df, *_SCALED)
 
 
-@query("expanded_vector", """
-SELECT vec_id, round(embedding[1]::double, 6) AS e0, round(embedding[2]::double, 6) AS e1, round(embedding[3]::double, 6) AS e2 FROM embeddings""")
+_ELEMENTS = range(64)
+
+
+@query("expanded_vector", "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::double, 6) AS e{i}" for i in _ELEMENTS) + " FROM embeddings")
 def expanded_vector(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     df = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return rounded(features.expanded_vector(df, "v", "e", 3), "e0", "e1", "e2")
+    return rounded(features.expanded_vector(df, "v", "e", len(_ELEMENTS)), *(f"e{i}" for i in _ELEMENTS))
+
+
+_NEAR = f"""t AS (SELECT regexp_extract_all(lower(text), '{_WORD}') AS t FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT row_number() OVER () AS doc, t FROM t),
+p AS (SELECT t[i] AS a, t[i + d] AS b FROM placed, unnest(range(1, len(t))) u(i), unnest(range(1, 6)) v(d) WHERE i + d <= len(t)),
+n AS (SELECT word, context, count(*) AS n FROM (SELECT a AS word, b AS context FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1, 2),
+r AS (SELECT word, sum(n) AS total FROM n GROUP BY 1)"""
+
+
+@query("word_weights", f"""WITH {_NEAR}
+SELECT n.word, context, n, CASE WHEN value > 0 THEN round(value, 6) END AS value FROM (
+  SELECT n.*, ln(n.n::DOUBLE * (SELECT sum(total) FROM r)::DOUBLE / (a.total::DOUBLE * b.total::DOUBLE)) AS value
+  FROM n JOIN r a ON a.word = n.word JOIN r b ON b.word = n.context) n""")
+def word_weights(spark, sf_dir):
+    """The table that word vectors are factors of: how often words stand near each other, and what that tells."""
+    counts = stage(embeddings.cooccurrences(table(spark, sf_dir, "documents"), "text", 5))
+    return rounded(counts.join(embeddings.information_weights(counts), ["word", "context"], "left"), "value")
+
+
+@query("word_factors", f"""WITH {COMMITS}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(msg), '{_WORD}')) AS word FROM commits)
+SELECT word, true AS reproduced FROM w""")
+def word_factors(spark, sf_dir):
+    """Whether a word's row of the table is what its vectors give, with as many components as the vocabulary of messages has words."""
+    weights = stage(embeddings.information_weights(stage(embeddings.cooccurrences(commits(spark, sf_dir, "msg"), "msg", 5))))
+    vectors, spectrum = embeddings.factorised(weights, 50)
+    signs = F.array(*(F.lit(1.0 if i >= len(spectrum) or spectrum[i][0] >= 0 else -1.0) for i in range(50)))
+    pairs = weights.join(vectors, "word").join(vectors.select(F.col("word").alias("context"), F.col("vec").alias("other")), "context")
+    made = F.aggregate(F.zip_with(F.zip_with("vec", "other", lambda x, y: x * y), signs, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    # entries agree, and nothing is left for pairs without an entry: both tables are of one length
+    squares = weights.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
+    same_length = abs(sum(v * v for v, _ in spectrum) - squares) < 1e-6
+    close = F.max(F.abs(made - F.col("value"))) < 1e-6
+    return pairs.groupBy("word").agg((close & F.lit(same_length)).alias("reproduced"))
 
 
 @query("message_embeddings")
@@ -147,7 +182,7 @@ def message_embeddings(spark, sf_dir):
 
 @query("document_embeddings")
 def document_embeddings(spark, sf_dir):
-    df = features.message_embeddings(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    df = features.message_embeddings(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", method=features.WORD2VEC)
     return features.expanded_vector(df, "embedding", "w2v_", 50).drop("text")
 
 

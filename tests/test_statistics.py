@@ -10,7 +10,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from commitlore.operators import activity, commit_rollups, features, filters, quality, running, splits
+from commitlore.operators import activity, commit_rollups, embeddings, features, filters, quality, running, splits
 from commitlore.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -123,11 +123,52 @@ def test_label_codes(spark, monkeypatch, short):
     assert got == {str(i): ranks[n or "unknown"] for i, n in enumerate(names)}
 
 
-def test_hashed_vocabulary(spark):
-    df = spark.createDataFrame([(i, f"word{i} fix bug") for i in range(50)] + [(99, None)], "id int, msg string")
-    out = features.message_embeddings(df, partitions=1, max_vocabulary=8).collect()
-    assert len(out) == 51 and all(len(r["embedding"]) == 50 for r in out)
-    assert not any([r for r in out if r["id"] == 99][0]["embedding"].toArray())
+@pytest.mark.parametrize("method", [features.COOCCURRENCE, features.WORD2VEC])
+def test_message_embeddings(spark, method):
+    df = spark.createDataFrame([(i, f"word{i} fix bug") for i in range(50)] + [(99, None), (99, None), (98, " ")], "id int, msg string")
+    out = features.message_embeddings(df, partitions=1, method=method).collect()
+    assert len(out) == 53 and all(len(r["embedding"]) == 50 for r in out)
+    assert not any(any(r["embedding"].toArray()) for r in out if r["id"] > 90)
+    assert all(any(r["embedding"].toArray()) for r in out if r["id"] < 90)
+    with pytest.raises(ValueError):
+        features.message_embeddings(df, method="other")
+
+
+def test_cooccurrence_factors(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.5, 12) % 40) for _ in range(120)] + [None, "", "alone"]
+    df = spark.createDataFrame([(t,) for t in texts], "msg string").repartition(3)
+    counts = {}
+    for t in texts:
+        t = (t or "").split()
+        for i, a in enumerate(t):
+            for b in t[i + 1 : i + 6]:
+                for pair in ((a, b), (b, a)):
+                    counts[pair] = counts.get(pair, 0) + 1
+    found = embeddings.cooccurrences(df, "msg", 5)
+    assert {(r["word"], r["context"]): r["n"] for r in found.collect()} == counts
+    words = sorted({a for a, _ in counts})
+    table = np.zeros((len(words), len(words)))
+    for (a, b), n in counts.items():
+        table[words.index(a), words.index(b)] = n
+    with np.errstate(divide="ignore"):
+        table = np.maximum(np.log(table * table.sum() / np.outer(table.sum(1), table.sum(0))), 0)
+    # five components by iteration, and all of them exactly
+    values = np.linalg.eigvalsh(table)
+    values = values[np.argsort(-np.abs(values))]
+    weights = embeddings.information_weights(found)
+    for size, rounds, near in ((3, 12, 0.02), (len(words), 1, 1e-8)):
+        vectors, spectrum = embeddings.factorised(weights, size, rounds=rounds)
+        assert np.allclose(np.abs([v for v, _ in spectrum]), np.abs(values[: len(spectrum)]), atol=near * values[0])
+        vec = {r["word"]: np.array(r["vec"]) for r in vectors.collect()}
+        made = np.stack([vec[w] for w in words])
+        scale = np.sqrt(np.abs([v for v, _ in spectrum])) + 1e-30
+        unit = made[:, : len(spectrum)][:, scale > 1e-3] / scale[scale > 1e-3]
+        assert np.allclose(unit.T @ unit, np.eye(unit.shape[1]), atol=1e-6)
+        left = np.linalg.norm(table @ unit - unit * np.array([v for v, _ in spectrum])[scale > 1e-3], axis=0)
+        assert np.allclose(left, np.array([r for _, r in spectrum])[scale > 1e-3], atol=1e-4)
+    empty, none = embeddings.factorised(weights.filter("false"), 4)
+    assert empty.collect() == [] and none == []
 
 
 def test_running_totals_of_hot_groups(spark):
