@@ -134,6 +134,10 @@ def unescaped(text) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+#: Turns whose running lengths are summed together.
+BLOCK_TURNS = 256
+
+
 def formatted(chats: DataFrame) -> DataFrame:
     """`chats` (with turns) with formatted text and loss_spans, (start, length) in characters, one for each assistant text.
 
@@ -144,14 +148,24 @@ def formatted(chats: DataFrame) -> DataFrame:
         F.concat(F.lit(OPEN), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
     out = chats.withColumn("_chat_parts", parts)
     pieces = F.transform("_chat_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE + "\n")))
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>").alias("spans"))
+    # running lengths within blocks of turns, then over the blocks: an array that grows is copied at each step, so it stays short
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>").alias("spans"))
 
     def step(state, p):
         begin, n = state["at"] + F.char_length(p["head"]), F.char_length(p["body"]).cast("long")
         span = F.struct(begin.alias("start"), n.alias("length"), p["loss"].alias("loss"))
         return F.struct((begin + n + len(CLOSE) + 1).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    spans = F.filter(F.aggregate("_chat_parts", start, step)["spans"], lambda s: s["loss"])
+    def placed(blocks):
+        first = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("begins"))
+        begins = F.aggregate(blocks, first, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["begins"], F.array(s["at"])).alias("begins")))["begins"]
+        moved = lambda b, o: F.transform(b["spans"], lambda s: F.struct((s["start"] + o).alias("start"), s["length"].alias("length"), s["loss"].alias("loss")))
+        return F.flatten(F.zip_with(blocks, begins, moved))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_chat_parts") - 1) / BLOCK_TURNS).cast("int"))
+    numbers = F.when(F.size("_chat_parts") > 0, numbers).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(numbers, lambda i: F.aggregate(F.slice("_chat_parts", i * BLOCK_TURNS + 1, BLOCK_TURNS), start, step))
+    spans = F.filter(F.get(F.transform(F.array(blocks), placed), F.lit(0)), lambda s: s["loss"])
     loss = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return out.withColumn("formatted", F.array_join(pieces, "")).withColumn("loss_spans", loss).drop("_chat_parts")
 
@@ -163,7 +177,10 @@ def read_back(chats: DataFrame) -> DataFrame:
     turns = F.transform(pieces, lambda p: F.struct(
         F.url_decode(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), "\n", 1)).alias("role"),
         unescaped(F.substr(p, F.locate("\n", p) + F.lit(1))).alias("text")))
-    said = F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))))
+    # four bytes a character: a span is cut at its place, without counting characters from the start for each
+    wide = F.transform(F.array(F.encode("formatted", "UTF-32")), lambda w: F.transform(
+        "loss_spans", lambda s: unescaped(F.decode(F.substr(w, (s["start"] * 4 - 3).cast("int"), (s["length"] * 4).cast("int")), "UTF-32"))))
+    said = F.get(wide, F.lit(0))
     return chats.withColumn("read_turns", turns).withColumn("loss_texts", said)
 
 

@@ -30,3 +30,13 @@ def test_rows_go_through_the_fingerprint(spark):
     assert chat.rows_to_chats(rows.filter("false")).collect() == []
     null = rows.limit(1).select(F.lit(None).cast("struct<messages:array<struct<role:string,content:string>>>").alias("record"))
     assert [tuple(r) for r in chat.canonical_structs(null).select("layout", "turns").collect()] == [(None, [])]
+
+
+def test_spans_of_many_turns(spark):
+    """Around the size of a block of turns, and far beyond, with characters of one to four bytes."""
+    for n in (1, chat.BLOCK_TURNS, chat.BLOCK_TURNS + 1, 9000):
+        turns = [("assistant" if i % 2 else "user", f"é😀 </s> {i} \\ x" if i % 3 else "") for i in range(n)]
+        rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+        row = chat.read_back(chat.formatted(chat.rows_to_chats(rows)).select("formatted", "loss_spans")).first()
+        assert [tuple(t) for t in row["read_turns"]] == turns
+        assert row["loss_texts"] == [text for role, text in turns if role == "assistant"]
