@@ -1,8 +1,12 @@
 """What must hold as tables grow: plans that hold no long table in one place, and results that do not depend on the form."""
 
-from pyspark.sql import functions as F
+import os
 
-from commitlore.operators import features
+import duckdb
+import pytest
+
+from commitlore.operators import features, models
+from tools.check_queries import QUERIES, compare, connect
 
 
 def _plan(df):
@@ -19,3 +23,31 @@ def test_long_dictionary_is_never_broadcast(spark, monkeypatch):
     assert {r["hash"]: r["author"] for r in out.collect()} == {str(i): ranks[n or "unknown"] for i, n in enumerate(names)}
     # the codes themselves meet their rows by a shuffle, whatever size the planner takes their file to have
     assert "SortMergeJoin [_value" in _plan(features.label_encode(df))
+
+
+@pytest.fixture(scope="module")
+def without_rules(tmp_path_factory, sf_dir):
+    """The sample tables with one line in each order, so that no two files change together."""
+    out = tmp_path_factory.mktemp("without_rules")
+    for name in os.listdir(sf_dir):
+        if name != "lineitem.parquet":
+            os.symlink(os.path.join(sf_dir, name), out / name)
+    first = "SELECT * FROM read_parquet('{}/lineitem.parquet') QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1"
+    duckdb.sql(f"COPY ({first.format(sf_dir)}) TO '{out}/lineitem.parquet' (FORMAT parquet)")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["association_network_metrics", "association_network_nodes", "mine_associations"])
+def test_no_rules_as_sql(spark, without_rules, name):
+    ok, message = compare(spark, connect(without_rules), name, without_rules)
+    assert ok, message
+
+
+def test_no_models_is_an_empty_table(spark, without_rules):
+    scores = QUERIES["file_impact"](spark, without_rules)
+    assert scores.columns == ["task", "model", "accuracy", "precision", "recall", "f1"] and scores.count() == 0
+    one = spark.createDataFrame([(str(i), float(i), "a", 0.5) for i in range(20)], "hash string, x double, kind string, dmm_score double")
+    found = models.train_classifiers(one, "kind")
+    assert [found[k].count() for k in ("scores", "confusion", "importances", "classes", "skipped")] == [0, 0, 0, 0, 1]
+    for cv in (models.cv_regression(one.limit(3)), models.cv_classification(one, "kind")):
+        assert [cv[k].count() for k in ("scores", "folds", "importances", "skipped")] == [0, 0, 0, 1]
