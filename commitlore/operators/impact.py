@@ -72,7 +72,7 @@ def file_impact(
                 scores.append(stage(models._named(metrics.binary_metrics(predicted), file, name)))
                 if weights:
                     importances[(file, name)] = weights
-    out = models._tables(session, scores, importances, TOP_FEATURES)
+    out = models._tables(session, scores, importances, TOP_FEATURES, metrics.binary_metrics)
     return {**out, "influenced": files, "skipped": models._skipped(session, skipped)}
 
 
