@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
-from commitlore.operators import features, models
+from commitlore.operators import features, lloyd, models, sums
 from tools.check_queries import QUERIES, compare, connect
 
 
@@ -51,3 +52,18 @@ def test_no_models_is_an_empty_table(spark, without_rules):
     assert [found[k].count() for k in ("scores", "confusion", "importances", "classes", "skipped")] == [0, 0, 0, 0, 1]
     for cv in (models.cv_regression(one.limit(3)), models.cv_classification(one, "kind")):
         assert [cv[k].count() for k in ("scores", "folds", "importances", "skipped")] == [0, 0, 0, 1]
+
+
+def test_scans_of_a_fit_read_blocks(spark, monkeypatch):
+    """Rows are opened once for a fit, not in every scan."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.1, (3000, 2)) for c in (0, 3, 9)])
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    read = []
+    seen = sums.summed
+    monkeypatch.setattr(lloyd, "summed", lambda held, *a: (read.append((held.columns, held.count())), seen(held, *a))[1])
+    centers, inertia = lloyd.fit_all(rows, [3], 4)[3]
+    assert np.allclose(sorted(centers[:, 0]), [0, 3, 9], atol=0.05) and inertia == pytest.approx(((x - np.round(x / 3) * 3) ** 2).sum(), rel=0.01)
+    assert len(read) > 2 and all(columns == ["n", "x"] and 1 < n < 10 for columns, n in read)
+    total = sums.summed(spark.createDataFrame([([1.0, 2.0], 3.0)], "x array<double>, y double"), 1, lambda x, y: (x.sum(axis=1) * y)[:1])
+    assert total.tolist() == [9.0] and sums.summed(rows.limit(0), 2, lambda x, y: x).tolist() == [0.0, 0.0]
