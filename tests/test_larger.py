@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from commitlore.operators import features, lloyd, models, sums
+from commitlore.operators import embeddings, features, lloyd, models, sums
 from tools.check_queries import QUERIES, compare, connect
 
 
@@ -67,3 +67,22 @@ def test_scans_of_a_fit_read_blocks(spark, monkeypatch):
     assert len(read) > 2 and all(columns == ["n", "x"] and 1 < n < 10 for columns, n in read)
     total = sums.summed(spark.createDataFrame([([1.0, 2.0], 3.0)], "x array<double>, y double"), 1, lambda x, y: (x.sum(axis=1) * y)[:1])
     assert total.tolist() == [9.0] and sums.summed(rows.limit(0), 2, lambda x, y: x).tolist() == [0.0, 0.0]
+
+
+def test_word_pairs_are_shuffled_once(spark):
+    texts = [(t,) for t in ("a b a a", "b c", None, "", "c", "d d d a b c e f g h")]
+    df = spark.createDataFrame(texts, "msg string")
+    want = {}
+    for (t,) in texts:
+        t = (t or "").split()
+        for i, a in enumerate(t):
+            for b in t[i + 1 : i + 6]:
+                for pair in ((a, b), (b, a)):
+                    want[pair] = want.get(pair, 0) + 1
+    counts = embeddings.cooccurrences(df, "msg", 5)
+    assert {(r["word"], r["context"]): r["n"] for r in counts.collect()} == want
+    assert _plan(embeddings.cooccurrences(df, "msg", 5)).count("Exchange hashpartitioning") == 1
+    held = {(r["word"], r["context"]): (r["n"], r["value"]) for r in embeddings.weighted_cooccurrences(df, "msg", 5).collect()}
+    values = {(r["word"], r["context"]): r["value"] for r in embeddings.information_weights(counts).collect()}
+    assert held.keys() == want.keys() and {k: v for k, (_, v) in held.items() if v is not None} == pytest.approx(values)
+    assert {k: n for k, (n, _) in held.items()} == want
