@@ -45,7 +45,7 @@ def blocks(rows: DataFrame):
 def summed(held: DataFrame, length: int, made: Callable) -> np.ndarray:
     """The sum of `made(x, y)`, an array of this length, over all `blocks`, y being None where there is none; zeros for no rows.
 
-    Rows that are no blocks yet are made so for this one scan. A task hands on one array. Where tasks are many their arrays are added in groups, so the driver gets GROUPS arrays at most.
+    Rows that are no blocks yet are made so for this one scan. A task hands on one array. Where tasks are many their arrays are added in groups, then the groups, so the driver gets one array a scan.
     """
     if "n" not in held.columns:
         with blocks(held) as written:
@@ -69,6 +69,9 @@ def summed(held: DataFrame, length: int, made: Callable) -> np.ndarray:
             yield pd.DataFrame({"total": [total.tobytes()]})
 
     found = held.mapInPandas(partial, "total binary")
-    if held.rdd.getNumPartitions() > GROUPS:
+    parts = held.rdd.getNumPartitions()
+    if parts > GROUPS:
         found = found.repartition(GROUPS).mapInPandas(added, "total binary")
+    if parts > 1:  # GROUPS arrays at most meet in this task
+        found = found.repartition(1).mapInPandas(added, "total binary")
     return np.sum([np.zeros(length), *(np.frombuffer(r["total"]) for r in found.collect())], axis=0)
