@@ -349,3 +349,23 @@ def test_principal_components(spark):
     assert np.allclose(ratios, (s**2 / (s**2).sum())[:3])
     first = [abs(r["pc1"]) for r in clusters.pca_projection(df, df.columns, keep=df.columns).collect()]
     assert np.allclose(sorted(first), sorted(abs(z @ vt[0])))
+
+
+def test_mining_counts_equal_baskets_once(spark, monkeypatch):
+    """Sets grow from kinds of baskets, not from commits; both forms of pairs come from the lists that the first files have."""
+    commits = [["a", "b", "c"]] * 200 + [["a", "b"]] * 150 + [["c", "d"]] * 40 + [["e"]] * 30 + [["a", "d", "e", "f"]] * 5
+    changes = changes_of(spark, commits)
+    members = baskets.file_memberships(changes)
+    grown, sets = baskets._grown, []
+    monkeypatch.setattr(baskets, "_grown", lambda s, *a: (sets.append(s.count()), grown(s, *a))[1])
+    found = {tuple(r["items"]): (r["size"], r["freq"]) for r in baskets.frequent_itemsets(members, 0.01).collect()}
+    assert sets == [5]
+    want = Counter(x for c in commits for k in range(1, 5) for x in itertools.combinations(sorted(c), k))
+    assert found == {k: (len(k), n) for k, n in want.items() if n >= 0.01 * len(commits)}
+    files = changes.select("hash", "pos", F.col("path").alias("file"))
+    made, counted = baskets._counted_baskets, []
+    monkeypatch.setattr(baskets, "_counted_baskets", lambda m: (counted.append(1), made(m))[1])
+    assert [tuple(r) for r in baskets.top_pairs(files, 2).collect()] == [("a", "b", 350), ("a", "c", 200)] and len(counted) == 1
+    for seeds in (1, 2, 3, 64):  # also if the first files do not hold all that can lead
+        rows = baskets.top_pairs(files, 4, ordered=False, seeds=seeds).collect()
+        assert [tuple(r) for r in rows] == [("a", "b", 350), ("a", "c", 200), ("b", "c", 200), ("c", "d", 40)]
