@@ -86,3 +86,47 @@ def test_word_pairs_are_shuffled_once(spark):
     values = {(r["word"], r["context"]): r["value"] for r in embeddings.information_weights(counts).collect()}
     assert held.keys() == want.keys() and {k: v for k, (_, v) in held.items() if v is not None} == pytest.approx(values)
     assert {k: n for k, (n, _) in held.items()} == want
+
+
+def test_context_vectors_by_blocks_and_ranges(spark, monkeypatch):
+    """Blocks and ranges of a few words give what the whole table gives, and no text or word is left out."""
+    from commitlore.operators import contexts
+
+    monkeypatch.setattr(contexts, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(contexts, "RANGE_TOKENS", 400)
+    monkeypatch.setattr(contexts, "STEP_TOKENS", 7)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.6, 14) % 30) for _ in range(120)] + [None, "", "alone", "w1 " * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, msg string").repartition(3)
+    words = sorted({w for t in texts for w in (t or "").split()})
+    table = np.zeros((len(words), len(words)))
+    for t in texts:
+        t = [words.index(w) for w in (t or "").split()]
+        for i, a in enumerate(t):
+            for b in t[max(0, i - 5) : i] + t[i + 1 : i + 6]:
+                table[a, b] += 1
+    totals = table.sum(1)
+    scale = 1 / np.sqrt(totals + totals.mean())
+    values, axes = np.linalg.eigh(table * np.outer(scale, scale))
+    order = np.argsort(-np.abs(values))
+    size = len(words)
+    vectors = scale[:, None] * axes[:, order] * np.sqrt(np.abs(values[order]) * totals.sum())
+    rows = spark.createDataFrame(df.toPandas().assign(_row=range(len(texts)))).repartition(3)
+    blocks = contexts.token_blocks(rows, "msg")
+    assert blocks.count() > 3 and contexts.range_bits(blocks) >= 2
+    state, spectrum = contexts.context_vectors(blocks, size, 5)
+    assert np.allclose(np.abs(spectrum), np.abs(values[order])[: len(spectrum)], atol=1e-4)
+    means = {r["id"]: np.array(r["embedding"]) for r in rows.join(contexts.text_means(blocks, state, size), "_row").collect()}
+    assert len(means) == len(texts) and not means[120].any() and not means[121].any()
+    expected = np.stack([np.mean([vectors[words.index(w)] for w in t.split()] or [np.zeros(size)], axis=0) for t in texts if t is not None])
+    made = np.stack([means[i] for i, t in enumerate(texts) if t is not None])
+    # signs of components are free, and so is the choice within equal ones: products of vectors are not
+    assert np.allclose(made @ made.T, expected @ expected.T, atol=2e-3 * np.abs(expected @ expected.T).max())
+
+
+def test_document_embeddings_hold_no_vocabulary_on_the_driver(spark, sf_dir, monkeypatch):
+    def gathers(*_, **__):
+        raise AssertionError("a model on the driver")
+
+    monkeypatch.setattr(features, "Word2Vec", gathers)
+    assert QUERIES["document_embeddings"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
