@@ -130,3 +130,35 @@ def test_document_embeddings_hold_no_vocabulary_on_the_driver(spark, sf_dir, mon
 
     monkeypatch.setattr(features, "Word2Vec", gathers)
     assert QUERIES["document_embeddings"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_classifiers_share_one_set_of_blocks(spark, monkeypatch):
+    """Support vectors and network are fitted on the same few numbers a row; kernel features are never written."""
+    from contextlib import contextmanager
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from commitlore.operators import descent
+
+    rng = np.random.default_rng(4)
+    rows = [(float(i % 3), (rng.normal(0, 0.4, 2) + [i % 3, -(i % 3)]).tolist()) for i in range(300)]
+    data = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector(F.col("x")).alias("features"))
+    written = []
+
+    @contextmanager
+    def counted(frame):
+        with sums.blocks(frame) as held:
+            written.append(max(len(r["x"]) // r["n"] for r in held.collect()))
+            yield held
+
+    monkeypatch.setattr(descent, "blocks", counted)
+    good = {}
+    for name, predicted, _ in models.fit_classifiers(data, data, ["a", "b"], 3, iterations=30, layers=[8], only=["SVM", "MLP"]):
+        good[name] = predicted.filter("label = prediction").count() / len(rows)
+    assert written == [16] and min(good[n] for n in ("SVM", "MLP")) > 0.9
+
+    loss, at = descent.softmax_loss([2, 4, 3]), rng.normal(size=2 * 4 + 4 + 4 * 3 + 3)
+    x, y = rng.normal(size=(20, 2)), rng.integers(0, 3, 20)
+    slope = [(loss(at + 1e-6 * e, x, y)[0] - loss(at - 1e-6 * e, x, y)[0]) / 2e-6 for e in np.eye(len(at))]
+    assert np.allclose(loss(at, x, y)[1], slope, atol=1e-5)
