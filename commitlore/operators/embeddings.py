@@ -5,6 +5,7 @@ gathered, hashed into buckets or left out, so one form serves any vocabulary.
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from commitlore.functions.text import tokenize_message
@@ -12,6 +13,8 @@ from commitlore.session import discard, stage
 
 #: Components beyond the wanted ones, and multiplications by the table.
 OVERSAMPLE, ROUNDS = 10, 6
+#: Most word vectors that go to every task.
+SMALL_VOCABULARY = 50_000
 
 
 def _one_way(df: DataFrame, column: str, window: int) -> DataFrame:
@@ -148,11 +151,40 @@ def factorised(weights: DataFrame, size: int, seed: int = 42, rounds: int = ROUN
 
 
 def mean_vectors(df: DataFrame, column: str, vectors: DataFrame, size: int) -> DataFrame:
-    """`df` with `embedding`, the mean of the vectors of a text's words, words without a vector counting as zeros; zeros without words."""
-    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()))
-    words = rows.select("_row", F.explode(tokenize_message(column)).alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))
-    found = words.join(vectors, "word", "left")
-    parts = [F.sum(F.col("n") * F.coalesce(F.get("vec", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(size)]
-    means = found.groupBy("_row").agg(F.sum("n").alias("n"), *parts).select("_row", F.array(*(F.col(f"s{i}") / F.col("n") for i in range(size))).alias("embedding"))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    return rows.join(means, "_row", "left").withColumn("embedding", F.coalesce("embedding", zeros)).drop("_row")
+    """`df` with `embedding`, the mean of the vectors of a text's words, words without a vector counting as zeros; zeros without words.
+
+    A counted, small number of vectors goes to every task, which takes a few texts at a time; more of them meet blocks of texts by ranges of
+    words. So no task holds more than a batch, a block or a range, however many texts there are.
+    """
+    from commitlore.operators import contexts
+
+    found = vectors.select(F.xxhash64("word").alias("h"), "vec").limit(SMALL_VOCABULARY + 1).toPandas()
+    if len(found) > SMALL_VOCABULARY:
+        rows = stage(df.withColumn("_row", F.monotonically_increasing_id()))
+        blocks = contexts.token_blocks(rows, column)
+        means = stage(contexts.text_means(blocks, contexts.vector_state(vectors, contexts.range_bits(blocks), size), size))
+        return rows.join(means, "_row").drop("_row")
+    order = np.argsort(found["h"].to_numpy(np.int64))
+    known = found["h"].to_numpy(np.int64)[order]
+    # a last row of zeros for words without a vector
+    table = np.concatenate([np.stack(found["vec"].to_numpy()).reshape(-1, size)[order] if len(found) else np.zeros((0, size)), np.zeros((1, size))])
+
+    @F.pandas_udf("array<double>")
+    def mean(texts: pd.Series) -> pd.Series:
+        lengths = np.array([0 if t is None else len(t) for t in texts], np.int64)
+        out = np.zeros((len(lengths), size))
+        if lengths.sum():
+            tokens = np.concatenate([t for t in texts if t is not None and len(t)]).astype(np.int64)
+            at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+            at = np.where(known[at] == tokens, at, len(known)) if len(known) else np.zeros(len(tokens), np.int64)
+            some = np.flatnonzero(lengths)
+            starts, at_word = (np.cumsum(lengths) - lengths)[some], 0
+            # some texts at a time: a place takes as many numbers as a vector
+            while at_word < len(some):
+                to = max(at_word + 1, int(np.searchsorted(starts, starts[at_word] + contexts.STEP_TOKENS, side="right")) - 1)
+                begin, end = starts[at_word], starts[to] if to < len(some) else len(tokens)
+                out[some[at_word:to]] = np.add.reduceat(table[at[begin:end]], starts[at_word:to] - begin, axis=0)
+                at_word = to
+        return pd.Series(list(out / np.maximum(lengths, 1)[:, None]))
+
+    return df.withColumn("embedding", mean(F.transform(tokenize_message(column), lambda w: F.xxhash64(w))))

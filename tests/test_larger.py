@@ -162,3 +162,24 @@ def test_classifiers_share_one_set_of_blocks(spark, monkeypatch):
     x, y = rng.normal(size=(20, 2)), rng.integers(0, 3, 20)
     slope = [(loss(at + 1e-6 * e, x, y)[0] - loss(at - 1e-6 * e, x, y)[0]) / 2e-6 for e in np.eye(len(at))]
     assert np.allclose(loss(at, x, y)[1], slope, atol=1e-5)
+
+
+@pytest.mark.parametrize("small", [50_000, 3])
+def test_means_of_texts_need_no_group_a_text(spark, monkeypatch, small):
+    from commitlore.operators import contexts
+
+    monkeypatch.setattr(embeddings, "SMALL_VOCABULARY", small, raising=False)
+    monkeypatch.setattr(contexts, "STEP_TOKENS", 4)
+    monkeypatch.setattr(contexts, "RANGE_TOKENS", 100)
+    vec = {f"w{i}": [float(i), 1.0, -i / 2] for i in range(8)}
+    texts = ["w1 w2 w2", None, "", "unknown", "w7 unknown w3 w3 w5 w1", *(f"w{i % 8} w{i % 3} w{i % 5}" for i in range(100)), "w4 " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, msg string").repartition(2)
+    vectors = spark.createDataFrame(list(vec.items()), "word string, vec array<double>")
+    out = embeddings.mean_vectors(df, "msg", vectors, 3)
+    made = {r["id"]: r["embedding"] for r in out.collect()}
+    assert len(made) == len(texts)
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        expected = np.mean([vec.get(w, [0.0] * 3) for w in words] or [[0.0] * 3], axis=0)
+        assert np.allclose(made[i], expected, atol=1e-6)
+    assert "HashAggregate" not in _plan(out)
