@@ -309,6 +309,22 @@ def test_no_move_betters_communities(spark):
     assert row["nodes_that_gain"] == 0 and row["modularity"] == pytest.approx(best) and row["nodes"] == len(found)
 
 
+@pytest.mark.parametrize("links", [1 << 18, 400])
+def test_blocks_of_nodes_settle_in_few_rounds(spark, monkeypatch, links):
+    rng = np.random.default_rng(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 120, (420, 2)).tolist() if a != b} | {(0, i) for i in range(1, 90)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "src long, dst long, weight double")
+    made, rounds = communities.best_moves, []
+    monkeypatch.setattr(communities, "_BLOCK_LINKS", links)
+    monkeypatch.setattr(communities, "best_moves", lambda *a: (rounds.append(1), made(*a))[1])
+    found = communities.graph_communities(df) if links > 400 else communities.settled(communities._Graph(communities.stage(df.withColumnRenamed("weight", "w"))), df.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")), 1.0)[0]
+    if links > 400:
+        assert len(rounds) <= 10
+    monkeypatch.undo()
+    row = communities.community_quality(df, found).first()
+    assert row["nodes"] == 120 and row["nodes_that_gain"] == 0 and row["modularity"] > 0.1
+
+
 def test_graphs_without_edges_have_no_communities(spark):
     assert communities.graph_communities(spark.createDataFrame([], "src long, dst long, weight double")).collect() == []
 
