@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from commitlore.llm import chat, contamination, fingerprint, graph, langid, lm, mixing, near_dup, packing, passages, toxicity
 from commitlore.llm.common import encoded, fold, plain_words, sampled_texts, table
+from commitlore.session import release
 
 
 def words(text):
@@ -557,3 +559,22 @@ def test_passages_of_odd_rows(odd_docs, no_docs):
 def test_words_are_the_contract_words():
     text = "A-Z é1_x [^] Ünï漢字 \x7f~"
     assert [w.decode() for w in plain_words(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def test_finished_shuffles_of_passages_are_deleted(spark, monkeypatch):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = []
+
+    def held(of):
+        before = manager.getAllFiles().size()
+        release(of)
+        end = time.time() + 20
+        while manager.getAllFiles().size() >= before and time.time() < end:
+            time.sleep(0.2)
+        left.append((before, manager.getAllFiles().size()))
+
+    monkeypatch.setattr(passages, "release", held)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(["a1", *words])), (2, " ".join(["b1", *words]))], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_equal"]) for r in passages.repeated_passages(docs).collect()} == {(1, 60), (2, 60)}
+    assert len(left) == 2 and left[0][1] < left[0][0]
