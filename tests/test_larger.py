@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from commitlore.operators import embeddings, features, lloyd, models, sums
+from commitlore.registry import models as registered
 from tools.check_queries import QUERIES, compare, connect
 
 
@@ -54,6 +55,30 @@ def test_no_models_is_an_empty_table(spark, without_rules):
         assert [cv[k].count() for k in ("scores", "folds", "importances", "skipped")] == [0, 0, 0, 1]
 
 
+WHOLE = [
+    ("predict_change_type", "train_classifiers", {}),
+]
+
+
+@pytest.mark.parametrize("name, fit, wanted", WHOLE)
+def test_registered_models_are_fitted_whole(spark, sf_dir, monkeypatch, name, fit, wanted):
+    """As many trees, rounds and iterations as the library fits by default."""
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(registered, "_features", lambda spark, sf_dir: features.dmm_score(spark.createDataFrame(
+        [(str(i), float(i), "a", 0.1 * i, 0.1 * i, 0.1 * i) for i in range(9)], "hash string, x double, kind string, dmm_unit_size double, dmm_unit_complexity double, dmm_unit_interfacing double")))
+    monkeypatch.setattr(models, fit, asked)
+    with pytest.raises(Asked) as found:
+        QUERIES[name](spark, sf_dir)
+    options = found.value.args[0]
+    assert {k: v for k, v in options.items() if k in ("trees", "rounds", "iterations", "max_models", "only")} == wanted
+    assert (models.TREES, models.ROUNDS, models.ITERATIONS) == (100, 100, 100)
+
+
 def test_scans_of_a_fit_read_blocks(spark, monkeypatch):
     """Rows are opened once for a fit, not in every scan."""
     rng = np.random.default_rng(3)
