@@ -57,6 +57,7 @@ def test_no_models_is_an_empty_table(spark, without_rules):
 
 WHOLE = [
     ("predict_change_type", "train_classifiers", {}),
+    ("cv_regression", "cv_regression", {}),
     ("cv_classification", "cv_classification", {}),
     ("train_regressors", "train_regressors", {}),
     ("predict_quality_class", "train_classifiers", {}),
