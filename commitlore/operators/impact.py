@@ -8,9 +8,8 @@ from commitlore.operators import features as ft, metrics, models
 from commitlore.operators.filters import class_size_guard, min_rows_guard
 from commitlore.session import reused, stage
 
-# Files reported and modelled, lengths of the reports.
+# Files listed, lengths of the reports.
 INFLUENCED_FILES = 10
-MODELLED_FILES = 5
 TOP_FEATURES = 5
 SUMMARY_FEATURES = 8
 ACCURACY_BINS = 10
@@ -24,14 +23,12 @@ def printed_rules(rules: DataFrame) -> DataFrame:
     return rules.select(shown("antecedents").alias("source"), shown("consequents").alias("target"))
 
 
-def influenced_files(rules: DataFrame, target_file: str, limit: int = INFLUENCED_FILES, regex: bool = False) -> DataFrame:
-    """Single-file targets of the rules whose source names the file."""
+def influenced_files(rules: DataFrame, target_file: str, limit: int | None = INFLUENCED_FILES, regex: bool = False) -> DataFrame:
+    """Single-file targets of the rules whose source names the file, the first `limit` or all."""
     names_it = F.col("source").rlike(target_file) if regex else F.col("source").contains(target_file)
     clean = strip_set_repr("target")
-    return (
-        rules.filter(names_it & ~F.col("target").contains(target_file) & ~clean.contains(","))
-        .select(clean.alias("file")).distinct().orderBy("file").limit(limit)
-    )
+    found = rules.filter(names_it & ~F.col("target").contains(target_file) & ~clean.contains(",")).select(clean.alias("file")).distinct().orderBy("file")
+    return found if limit is None else found.limit(limit)
 
 
 def impact_labels(commits: DataFrame, file_changes: DataFrame, target_file: str, file: str, column: str = "filename") -> DataFrame:
@@ -47,14 +44,15 @@ def impact_labels(commits: DataFrame, file_changes: DataFrame, target_file: str,
 
 def file_impact(
     feature_rows: DataFrame, file_changes: DataFrame, rules: DataFrame, target_file: str,
-    trees: int = models.TREES, rounds: int = models.ROUNDS, iterations: int = models.ITERATIONS, max_models: int = MODELLED_FILES,
+    trees: int = models.TREES, rounds: int = models.ROUNDS, iterations: int = models.ITERATIONS, max_models: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Models that tell, for commits touching the target, whether an influenced file goes along."""
+    """Models that tell, for commits touching the target, whether an influenced file goes along: of all such files, or the first `max_models`."""
     session = feature_rows.sparkSession
-    files = influenced_files(rules, target_file)
+    files = stage(influenced_files(rules, target_file, limit=None))
     scores, importances, skipped = [], {}, []
     inputs = [c for c in models.model_inputs(feature_rows, []) if c != "hash"]
-    for file in [r["file"] for r in files.limit(max_models).collect()]:
+    # a name for each set of fits; rules are few
+    for file in sorted(r["file"] for r in files.collect())[:max_models]:
         rows = impact_labels(feature_rows, file_changes, target_file, file).filter("touches_target = 1").fillna(0, inputs)
         reason = min_rows_guard(rows) or class_size_guard(rows, "label")
         if reason:

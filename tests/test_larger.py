@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from commitlore.operators import embeddings, features, lloyd, models, sums
+from commitlore.operators import embeddings, features, impact, lloyd, models, sums
 from commitlore.registry import models as registered
 from tools.check_queries import QUERIES, compare, connect
 
@@ -56,6 +56,7 @@ def test_no_models_is_an_empty_table(spark, without_rules):
 
 
 WHOLE = [
+    ("file_impact", "file_impact", {}),
     ("predict_change_type", "train_classifiers", {}),
     ("cv_regression", "cv_regression", {}),
     ("cv_classification", "cv_classification", {}),
@@ -76,7 +77,7 @@ def test_registered_models_are_fitted_whole(spark, sf_dir, monkeypatch, name, fi
 
     monkeypatch.setattr(registered, "_features", lambda spark, sf_dir: features.dmm_score(spark.createDataFrame(
         [(str(i), float(i), "a", 0.1 * i, 0.1 * i, 0.1 * i) for i in range(9)], "hash string, x double, kind string, dmm_unit_size double, dmm_unit_complexity double, dmm_unit_interfacing double")))
-    monkeypatch.setattr(models, fit, asked)
+    monkeypatch.setattr(models if hasattr(models, fit) else impact, fit, asked)
     with pytest.raises(Asked) as found:
         QUERIES[name](spark, sf_dir)
     options = found.value.args[0]

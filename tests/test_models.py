@@ -88,6 +88,16 @@ def test_impact_of_a_file(spark, table):
     assert summary["mean_f1"].count() == 3 and summary["mean_importance"].count() == 6
 
 
+def test_impact_on_every_influenced_file(spark, table, monkeypatch):
+    names = [f"u{k:02d}.py" for k in range(12)]
+    changes = spark.createDataFrame([("1", "t.py")], "hash string, filename string")
+    rules = spark.createDataFrame([("{'t.py'}", f"{{'{name}'}}") for name in names], "source string, target string")
+    monkeypatch.setattr(impact, "min_rows_guard", lambda rows: "asked for")
+    found = impact.file_impact(table.drop("kind"), changes, rules, "t.py")
+    assert [r["task"] for r in found["skipped"].orderBy("task").collect()] == names == [r["file"] for r in found["influenced"].orderBy("file").collect()]
+    assert [r["file"] for r in impact.influenced_files(rules, "t.py").collect()] == names[:10]
+
+
 def test_reports_leave_out_what_they_cannot_do(spark):
     bare = spark.createDataFrame([("1", "x")], "hash string, author string")
     assert set(reports.activity_report(bare, profile_clusters=False)) == {"top_authors"}
