@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from commitlore.operators import embeddings, features, impact, lloyd, models, sums
+from commitlore.plans import reports
 from commitlore.registry import models as registered
 from tools.check_queries import QUERIES, compare, connect
 
@@ -85,6 +86,21 @@ def test_registered_models_are_fitted_whole(spark, sf_dir, monkeypatch, name, fi
     assert (models.TREES, models.ROUNDS, models.ITERATIONS) == (100, 100, 100)
 
 
+def test_the_whole_analysis_is_asked_for(spark, sf_dir, monkeypatch):
+    """No step is switched off and no step cut short; the scores of all models are in the result."""
+    asked = {}
+
+    def found(*tables, **options):
+        asked.update(options)
+        one = spark.createDataFrame([("x", 1.0)], "task string, value double")
+        return {"quality_raw": {"quality_score": one}, "quality_scaled": {"quality_score": one}, "associations": {"totals": one},
+                "clusters": {"kmeans_sizes": one, "community_sizes": one, "evaluation": one}, "models": {}, "scoreboard": one}
+
+    monkeypatch.setattr(reports, "analyze_commits", found)
+    sections = {r["section"] for r in QUERIES["analyze_commits"](spark, sf_dir).collect()}
+    assert asked == {} and {"clusters_community_sizes", "scoreboard"} <= sections
+
+
 def test_scans_of_a_fit_read_blocks(spark, monkeypatch):
     """Rows are opened once for a fit, not in every scan."""
     rng = np.random.default_rng(3)
