@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from commitlore.operators import embeddings, features, impact, lloyd, models, sums
@@ -116,6 +117,17 @@ def test_scans_of_a_fit_read_blocks(spark, monkeypatch):
     assert total.tolist() == [9.0] and sums.summed(rows.limit(0), 2, lambda x, y: x).tolist() == [0.0, 0.0]
 
 
+def test_blocks_and_their_batches_are_short(spark, monkeypatch):
+    """A reader holds a page of blocks, a worker a batch of them, so neither may grow with the width of the rows."""
+    rows = spark.createDataFrame([([float(i)] * 100,) for i in range(2000)], "x array<double>").coalesce(1)
+    monkeypatch.setattr(sums, "BATCH_BLOCKS", 2)
+    with sums.blocks(rows) as held:
+        assert held.selectExpr("max(length(x))").first()[0] <= 1 << 17
+        with sums.few_blocks(spark):
+            batches = held.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n int").collect()
+    assert len(batches) > 5 and max(r["n"] for r in batches) == 2
+
+
 def test_word_pairs_are_shuffled_once(spark):
     texts = [(t,) for t in ("a b a a", "b c", None, "", "c", "d d d a b c e f g h")]
     df = spark.createDataFrame(texts, "msg string")
